@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,31 @@ def sampled_ids(labels: DataFrame, most: int, label: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max(label).alias(label))
     )
+
+
+def with_text_columns(docs: DataFrame, added: str, function: Callable[[list], list]) -> DataFrame:
+    """docs with columns ``added`` (a schema text) computed from batches of whole texts as UTF-8 bytes.
+
+    Input columns whose names clash with an added one are replaced. The
+    function is broadcast once; texts reach Python in Arrow batches.
+    """
+    from pyspark.sql.types import StructType
+
+    need(docs, "doc_id", "text")
+    fresh = StructType.fromDDL(added)
+    kept = docs.drop(*fresh.names)
+    kept = kept.withColumn("text", F.col("text").cast("string"))
+    at = kept.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(function)
+    names = [*kept.columns, *fresh.names]
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from ledgerloom.llm.textkernel import utf8_list
+
+        for part in parts:
+            made = shared.value(utf8_list(part.column(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in made)], names)
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *fresh.fields]))
