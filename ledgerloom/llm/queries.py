@@ -11,6 +11,7 @@ from ledgerloom.llm import chat_format
 from ledgerloom.llm.common import residue
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
 from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality_classifier import fit_quality_classifier, score_quality
 from ledgerloom.llm.quality_rules import apply_quality_rules, fit_quality_rules
 from ledgerloom.llm.sharding import shard_documents
@@ -34,6 +35,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -57,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
