@@ -76,19 +76,19 @@ def sampled_ids(labels: DataFrame, most: int, label: str) -> DataFrame:
     )
 
 
-def with_text_columns(docs: DataFrame, added: str, function: Callable[[list], list]) -> DataFrame:
-    """docs with columns ``added`` (a schema text) computed from batches of whole texts as UTF-8 bytes.
+def with_text_columns(docs: DataFrame, added: str, function: Callable[[list], list], column: str = "text") -> DataFrame:
+    """docs with columns ``added`` (a schema text) computed from batches of whole texts in ``column`` as UTF-8 bytes.
 
     Input columns whose names clash with an added one are replaced. The
     function is broadcast once; texts reach Python in Arrow batches.
     """
     from pyspark.sql.types import StructType
 
-    need(docs, "doc_id", "text")
+    need(docs, column)
     fresh = StructType.fromDDL(added)
-    kept = docs.drop(*fresh.names)
-    kept = kept.withColumn("text", F.col("text").cast("string"))
-    at = kept.columns.index("text")
+    kept = docs.drop(*(c for c in fresh.names if c != column))
+    kept = kept.withColumn(column, F.col(column).cast("string"))
+    at = kept.columns.index(column)
     shared = docs.sparkSession.sparkContext.broadcast(function)
     names = [*kept.columns, *fresh.names]
 

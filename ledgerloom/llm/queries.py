@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat_format
 from ledgerloom.llm.common import residue
+from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.packing import pack_documents
@@ -28,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language_id(docs.where(residue(F.col("doc_id"), 4) != 2))
@@ -63,6 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op7_chat_format": op7_chat_format,
