@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format
+from ledgerloom.llm import chat_format, ngram_join
 from ledgerloom.llm.common import residue
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, p=85, q=100)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(residue(F.col("doc_id"), 5) != 0)
@@ -67,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
 }

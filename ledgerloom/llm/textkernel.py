@@ -140,10 +140,10 @@ def shingle_sets(texts: Sequence[bytes | None], k: int, fold: bool = True) -> It
                 yield np.unique(shingles[cuts[i] : cuts[i + 1]])
             elif n:
                 own = hashes[bounds[i] : bounds[i + 1]]
-                total = np.uint64(n)
+                total = np.array([n], np.uint64)
                 for j in range(n):
                     total = total * _MIXERS[15] + own[j]
-                yield mix(np.array([total], np.uint64))
+                yield mix(total)
             else:
                 yield np.zeros(0, np.uint64)
 
