@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat_format, ngram_join
 from ledgerloom.llm.common import residue
+from ledgerloom.llm.embedding_dedup import dedup_embeddings
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
 from ledgerloom.llm.mixing import mix_sources
@@ -50,6 +51,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
