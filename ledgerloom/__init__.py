@@ -1,0 +1 @@
+"""Evidence-ledger analytics on Spark: many conflicting documents about an entity, one traced record."""
