@@ -66,9 +66,10 @@ def build_ledger(extracted: DataFrame) -> DataFrame:
         base.alias("base"),
         F.coalesce("timestamp", F.lit(L.EPOCH)).alias("observed_at"),
         "src_order",
-        F.posexplode("drafts").alias("claim_seq", "d"),
+        # outer: else the optimizer would infer a filter on drafts and push the whole adapter down with it
+        F.posexplode_outer("drafts").alias("claim_seq", "d"),
     )
-    return rows.select(
+    return rows.where("claim_seq IS NOT NULL").select(
         "candidate_id",
         "d.field_path",
         "d.raw",
