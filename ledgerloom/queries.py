@@ -562,12 +562,12 @@ _FIELD_RANK = _sql_map({f: str(i) for i, f in enumerate(["full_name", "headline"
 
 @query(
     f"""WITH {_WIN_SQL}, {_LISTS_SQL}, {_RECORDS_SQL[len(_EVENTS_SQL) + 2 :]}, {_EDU_SQL},
-  traced AS (SELECT candidate_id, 0 AS part, {_FIELD_RANK}::BIGINT AS at, field_path AS field, source_id AS source, method FROM scalars
+  traced AS (SELECT candidate_id, 0 AS part, {_FIELD_RANK}::BIGINT AS pos, field_path AS field, source_id AS source, method FROM scalars
     UNION ALL SELECT candidate_id, 1, row_number() OVER (PARTITION BY candidate_id ORDER BY trust DESC, src_order), 'emails', source_id, 'm:email' FROM mails
     UNION ALL SELECT candidate_id, 2, s, 'skills:' || name, source, 'm:skill' FROM skills
     UNION ALL SELECT candidate_id, 3, row_number() OVER (PARTITION BY candidate_id ORDER BY rank), 'experience', source, 'm:role' FROM merged
     UNION ALL SELECT candidate_id, 4, row_number() OVER (PARTITION BY candidate_id ORDER BY rank), 'education', source, 'm:study' FROM edus)
-  SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY part, at) AS at, field, source, method FROM traced"""
+  SELECT candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY part, pos) AS at, field, source, method FROM traced"""
 )
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.canonical_records(_ledger(spark, sf_dir)).select("candidate_id", F.posexplode("provenance").alias("at", "p"))
