@@ -45,6 +45,8 @@ SIDE_WORDS = set(
     " comment comments commentlist commentary respond reply replies discussion disqus guestbook reactions"
     " share sharing social follow related recommended recommendations popular trending widget widgets search searchbox form contact tags tagcloud byline-links hidden".split()
 )
+#: Of these, words that also name layouts (has-sidebar, menu-open): a container that turns out to hold the article isn't aside for them.
+LAYOUT_WORDS = set("nav navbar navigation navi menu menus submenu topbar toolbar sidebar sidebars aside rail foot banner ad ads search form contact skip toc hidden cookie cookies consent modal overlay".split())
 SIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
 HEAD_WORDS = set("header head top".split())
 TEXT_WORDS = set("article post entry story content main body text".split())
@@ -67,19 +69,25 @@ def _attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if len(text) > 2 else {}
 
 
-def _is_side(tag: str, attributes: dict[str, str], in_text: bool) -> bool:
+def _side_of(tag: str, attributes: dict[str, str], in_text: bool) -> int:
+    """2 if an element is aside from the article, 1 if it is unless it holds the article, 0 else."""
     if tag in NOT_TEXT:
-        return True
+        return 1 if tag == "form" else 2
     if tag == "header" and not in_text:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if not attributes or tag in ("html", "body"):
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return 2
     if attributes.get("role", "").lower() in SIDE_ROLES:
-        return True
+        return 2
     words = {w.lower() for key in ("class", "id") for w in _WORDS.findall(attributes.get(key, ""))}
-    return bool(words & SIDE_WORDS) or bool(words & HEAD_WORDS and not in_text and not words & TEXT_WORDS)
+    if tag in ("article", "main"):
+        words -= LAYOUT_WORDS | {"share", "sharing", "social", "tags", "follow"}
+    found = words & SIDE_WORDS
+    if found:
+        return 1 if found <= LAYOUT_WORDS else 2
+    return 2 if words & HEAD_WORDS and not in_text and not words & TEXT_WORDS else 0
 
 
 def _is_text(tag: str, attributes: dict[str, str]) -> bool:
@@ -92,7 +100,7 @@ def _is_text(tag: str, attributes: dict[str, str]) -> bool:
 def strip_markup(page: str) -> list[Line]:
     """The page as lines of plain text, one a block element, with what the markup says of each."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, side, marked by <article>, link
+    stack: list[tuple[str, int, int, bool]] = []  # tag, side, mark, link
     parts: list[str] = []
     linked = 0
     side = link = False
@@ -158,11 +166,14 @@ def strip_markup(page: str) -> list[Line]:
             continue
         attributes = _attributes(m[3])
         mark = 2 if tag == "article" else 1 if _is_text(tag, attributes) else 0
-        entry = (tag, _is_side(tag, attributes, marked == 2), mark, tag == "a")
+        entry = (tag, _side_of(tag, attributes, marked == 2), mark, tag == "a")
         if entry[1] and tag not in BLOCKS:
             close()
+        if side and tag in ("article", "main") and not entry[1] and all(e[1] < 2 for e in stack):
+            stack[:] = [(e[0], 0, e[2], e[3]) for e in stack]
+            state()
         stack.append(entry)
-        side, marked, link = side or entry[1], max(marked, mark), link or entry[3]
+        side, marked, link = side or entry[1] > 0, max(marked, mark), link or entry[3]
     add(page[at:])
     close()
     return lines

@@ -221,6 +221,14 @@ def test_html_main_text():
     assert cut == WANT[: WANT.index("Last") + 4]
 
 
+def test_html_layout_words_do_not_hide_the_article():
+    body = PAGE[PAGE.index("<header") : PAGE.index("</body>")]
+    for opens, closes in (('<div class="page has-sidebar menu-open">', "</div>"), ("<form action=x>", "</form>"), ('<div id="nav-page"><div class="banner-layout">', "</div></div>")):
+        assert html_text.main_text(f"<body>{opens}{body}{closes}</body>") == WANT
+    hidden = '<div class="related-posts"><article><p>Another article that is long enough to be taken for the text of the page.</p></article></div>'
+    assert html_text.main_text(f"<body>{body}{hidden}</body>") == WANT
+
+
 def test_html_line_blocks():
     long = "x" * 90
     assert html_text.spans([0, 0, 90, 5, 0, 0, 0, 0, 100], 80) == [(0, 4), (6, 9)]
