@@ -18,15 +18,15 @@ def _checked(edges: DataFrame) -> tuple[int, int]:
     return r[0], int(r[1] or 0)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, component: least node reachable) of every node that has an edge to another.
 
     edges: two long columns in any direction; repeats and loops do no harm,
-    rows with a null are left out.
+    rows with a null are left out. ``rows``: about how many at most, if known.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = written(now.distinct(), "edges")
+    now = written(now.distinct(), "edges", rows)
     state = _checked(now)
     for _ in range(rounds):
         # Large star: every neighbour above u points at the least of u and its neighbours.
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: u and its neighbours below point at the least of them.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(lowest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(down.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "edges")
+        after = written(down.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "edges", rows)
         done = _checked(after)
         forget(now)
         now = after

@@ -185,16 +185,18 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, codewords: int
     classes = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy("unit", "size").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
     classes = written(classes, "vector-classes")
     found = None
-    for size, n in sorted((r["size"], r["count"]) for r in classes.groupBy("size").count().limit(1000).collect()):
+    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy("size").count().limit(1000).collect())
+    total = sum(n for _, n in sizes)
+    for size, n in sizes:
         own = classes.where(F.col("size") == size)
         some = own.orderBy(F.xxhash64("class"), "class").select("unit").limit(sample).collect()
         x = np.stack([np.frombuffer(r["unit"]) for r in some])
         counted = _links_of(own, fit_index(x, codewords or codewords_for(n), threshold, recall) if x.shape[1] > 1 else MultiIndex(np.zeros((1, 0)), np.zeros((1, 1)), 1), threshold)
         found = counted if found is None else found.unionByName(counted)
     empty = spark.createDataFrame([], "class long, n long, other long")
-    found = written(found if found is not None else empty, "vector-links")
+    found = written(found if found is not None else empty, "vector-links", 16 * total)
     counts = found.where("other IS NULL").groupBy("class").agg(F.sum("n").alias("n"))
-    labels = connected_components(found.where("other IS NOT NULL").select("class", "other"))
+    labels = connected_components(found.where("other IS NOT NULL").select("class", "other"), total)
     # Labels are least ids already: a class is called by its least id.
     named = classes.join(counts, "class", "left").join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id"))

@@ -42,12 +42,22 @@ def fragments_of_level(level: int, p: int, q: int) -> int:
     return (q - p) * 2 * largest // (q + p) + 1 + SPARE
 
 
+def level_of(n: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The own level of sets of these sizes."""
+    return np.searchsorted(level_starts(p, q), n, "right") - 1
+
+
+def meets_here(sig: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Whether a fragment's hash is of the level of the larger of two sets: similar sets agree in one there, so other levels needn't name the pair."""
+    return (level_of(np.maximum(a, b), p, q) & 1) == (sig & 1)
+
+
 def signatures(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The hashes of a set's fragments at both its levels. shingles: sorted distinct 64-bit hashes."""
+    """The hashes of a set's fragments at both its levels; the lowest bit is the level's. shingles: sorted distinct 64-bit hashes."""
     n = len(shingles)
     if not n:
         return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(level_starts(p, q), n, "right")) - 1
+    own = int(level_of(np.array(n), p, q))
     high = shingles >> np.uint64(32)
     spread = mix(shingles ^ np.uint64(0xA0761D6478BD642F))
     out = []
@@ -60,5 +70,5 @@ def signatures(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
         if pieces - len(first) > SPARE:
             empty = np.setdiff1d(np.arange(pieces), number)
             number, total = np.concatenate([number, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
-        out.append(mix(total ^ mix(number.astype(np.uint64) + np.uint64(level << 32))))
+        out.append(mix(total ^ mix(number.astype(np.uint64) + np.uint64(level << 32))) & ~np.uint64(1) | np.uint64(level & 1))
     return np.concatenate(out)

@@ -12,9 +12,11 @@
    within a task, and what is left is verified. So no link between different
    components is lost, and groups of near copies aren't expanded into pairs.
 
-Texts never move: each pass reads them anew and lets through only what a
-bitmap of bounded size asks for. Sets are identified by 64-bit hashes (chance
-of two different sets among n being taken for one: about n*n / 2**65).
+Texts never move. One pass hashes them and writes each class's sketch and
+fragment hashes (about 1.5 bytes an n-gram) to the shared folder; verification
+reads them again, for the documents that a bitmap of bounded size asks for.
+Sets are identified by 64-bit hashes (chance of two different sets among n
+being taken for one: about n*n / 2**65).
 
 Defined results: texts without a word (null, empty, white space) have 0
 shingles and are a component of their own; texts of fewer than k words have
@@ -34,13 +36,17 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import fragments
 from ledgerloom.llm import textkernel as K
 from ledgerloom.llm.bitmap import Bitmap, bitmap_of
-from ledgerloom.llm.common import need, written
+from ledgerloom.llm.common import ROWS_A_FILE, forget, need, release, written
 from ledgerloom.llm.components import connected_components
 
 #: Fragments in which overlaps are counted.
-PARTS = 8
+PARTS = 4
+#: Words of the shorter sketch that travels with each member of a bucket; the whole one is held against the pairs that it lets through.
+FEW = 16
 #: Members of a bucket that meet in one block.
 BLOCK = 1024
+#: Tasks among which buckets of one lowest member are dealt.
+SPREAD = 8
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -59,10 +65,10 @@ def sketch_of(shingles: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketch_words(n: int) -> int:
-    """64-bit words of the sketch of a set of n: by powers of 4, so that near sizes mostly agree."""
+    """64-bit words of the sketch of a set of n: four bits an n-gram, in powers of two (at most 8 KB)."""
     words = 4
-    while 64 * words < n and words < 1024:
-        words *= 4
+    while 16 * words < n and words < 1024:
+        words *= 2
     return words
 
 
@@ -76,79 +82,90 @@ def most_apart(a, b, p: int, q: int):
     return (q - p) * (a + b) // (q + p)
 
 
-def _sets(docs: DataFrame, k: int):
-    """The mapInArrow skeleton over (doc_id, text): yields (ids, sets) of each batch."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _slices(part, rows: int = 512) -> Iterator:
+    for at in range(0, part.num_rows, rows):
+        yield part.slice(at, rows)
 
 
-def document_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class and sketch of each row."""
+def document_classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """doc_id, key (of the id), n_shingles, class and sketch of each row, and its class's fragment hashes (sigs) once a class and task."""
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for part in parts:
-            n, cls, sketch = [], [], []
-            for s in K.shingle_sets(K.utf8_list(part.column(1)), k):
+        seen: set[int] = set()
+        for part in (x for whole in parts for x in _slices(whole)):
+            n, cls, sketch, sigs = [], [], [], []
+            for s in K.shingle_sets(K.utf8_list(part.column(2)), k):
                 n.append(len(s))
-                cls.append(class_of(s))
+                cls.append(c := class_of(s))
                 sketch.append(sketch_of(s, sketch_words(len(s))).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "class", "sketch"])
+                sigs.append(b"" if c in seen else fragments.signatures(s, p, q).tobytes())
+                seen.add(c)
+            short = [folded(np.frombuffer(x, np.uint64), min(FEW, len(x) // 8)).tobytes() if x else b"" for x in sketch]
+            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketch, short, sigs))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "n_shingles", "class", "sketch", "short", "sigs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _sets(docs, k).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, sketch binary")
-
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, class long, sketch binary, short binary, sigs binary")
 
-def _class_rows(docs: DataFrame, k: int, make, schema: str, wanted: Bitmap | None = None) -> DataFrame:
-    """Rows that ``make`` yields (as arrays) for the set of each class, once a class and task."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(parts: Iterator) -> Iterator:
-        import pyarrow as pa
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
 
-        seen: set[int] = set()
-        for part in parts:
-            found: list = []
-            for s in K.shingle_sets(K.utf8_list(part.column(1)), k):
-                if len(s) and (c := class_of(s)) not in seen:
-                    seen.add(c)
-                    found.append(make(c, s, shared.value))
-            found = [f for f in found if f is not None and len(f[0])]
-            if found:
-                columns = [pa.array(np.concatenate(x)) if isinstance(x[0], np.ndarray) else pa.array([v for y in x for v in y]) for x in zip(*found, strict=True)]
-                yield from pa.Table.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")]).to_batches(100_000)
 
-    return _sets(docs, k).mapInArrow(run, schema)
+def _fragment_rows(rows: DataFrame, wanted: Bitmap | None = None) -> DataFrame:
+    """(sig, class): the fragments' hashes of each class; only those that ``wanted`` may have."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _fragment_rows(docs: DataFrame, k: int, p: int, q: int, wanted: Bitmap | None = None) -> DataFrame:
-    """(sig, class): the fragments' hashes of each class; only those that ``wanted`` may have."""
+        for part in (x for whole in parts for x in _slices(whole, 1000)):
+            raw = part.column(0).to_pylist()
+            sig = np.frombuffer(b"".join(raw), np.int64)
+            cls = np.repeat(part.column(1).to_numpy(), [len(x) // 8 for x in raw])
+            if shared.value is not None:
+                keep = shared.value.has(sig)
+                sig, cls = sig[keep], cls[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls)], ["sig", "class"])
 
-    def make(c: int, s: np.ndarray, bits: Bitmap | None):
-        sig = fragments.signatures(s, p, q)
-        if bits is not None:
-            sig = sig[bits.has(sig)]
-        return sig.view(np.int64), np.full(len(sig), c, np.int64)
+    return rows.where(F.octet_length("sigs") > 0).select("sigs", "class").mapInArrow(run, "sig long, class long")
 
-    return _class_rows(docs, k, make, "sig long, class long", wanted)
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked: partial overlaps by fragment, summed per pair.
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked: partial overlaps by fragment, summed per pair."""
-    pairs = written(pairs, "pairs")
-    count = pairs.count()
-    wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b"))), 2 * count)
+    classes: class, key (of one of its documents). rows: about how many documents there are.
+    """
+    pairs = written(pairs, "pairs", rows)
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "key"), "class"), "asked", rows)
+    count = asked.count()
+    wanted = docs.sparkSession.sparkContext.broadcast((bitmap_of(asked.select("key"), count), bitmap_of(asked.select("class"), count)))
 
-    def make(c: int, s: np.ndarray, bits: Bitmap):
-        if not bits.has(np.array([c], np.int64))[0]:
-            return None
-        edges = np.searchsorted(s, np.arange(1, PARTS).astype(np.uint64) << np.uint64(64 - PARTS.bit_length() + 1))
-        own = [x.view(np.int64) for x in np.split(s, edges)]
-        some = [i for i in range(PARTS) if len(own[i])]
-        return np.full(len(some), c, np.int64), np.array(some, np.int32), [own[i] for i in some]
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    pieces = _class_rows(docs, k, make, "class long, part int, grams array<long>", wanted).dropDuplicates(["class", "part"])
-    pieces = written(pieces, "pieces")
+        keys, sets = wanted.value
+        edges = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(65 - PARTS.bit_length())
+        seen: set[int] = set()
+        for part in (x for whole in parts for x in _slices(whole)):
+            part = part.filter(pa.array(keys.has(part.column(1).to_numpy())))
+            cls, piece, grams = [], [], []
+            for s in K.shingle_sets(K.utf8_list(part.column(2)), k):
+                c = class_of(s)
+                if not len(s) or c in seen or not sets.has(np.array([c]))[0]:
+                    continue
+                seen.add(c)
+                for i, own in enumerate(np.split(s, np.searchsorted(s, edges))):
+                    if len(own):
+                        cls.append(c), piece.append(i), grams.append(own.view(np.int64))
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(piece, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["class", "part", "grams"])
+
+    pieces = _keyed(docs).mapInArrow(run, "class long, part int, grams array<long>")
+    pieces = written(pieces.dropDuplicates(["class", "part"]), "pieces", PARTS * rows)
+    release(docs.sparkSession)
     by_part = pairs.join(pieces.select(F.col("class").alias("a"), "part", F.col("grams").alias("grams_a")), "a")
     by_part = by_part.join(pieces.select(F.col("class").alias("b"), "part", F.col("grams").alias("grams_b")), ["b", "part"])
     partial = by_part.select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("shared"))
@@ -182,86 +199,137 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
+def _small_pairs(m: int, rows: np.ndarray, sig, comp, n, four, p: int, q: int) -> np.ndarray:
+    """Index pairs within buckets of m members each (rows: first row of each) that sizes and folded sketches don't rule out."""
+    i, j = np.triu_indices(m, 1)
+    left, right = (rows[:, None] + i).ravel(), (rows[:, None] + j).ravel()
+    for keep in (
+        lambda: comp[left] != comp[right],
+        lambda: np.minimum(n[left], n[right]) * q >= np.maximum(n[left], n[right]) * p,
+        lambda: fragments.meets_here(sig[left], n[left], n[right], p, q),
+        lambda: np.bitwise_count(four[left] ^ four[right]).sum(1) <= most_apart(n[left], n[right], p, q),
+    ):
+        ok = keep()
+        left, right = left[ok], right[ok]
+    return np.stack([left, right], 1)
+
+
+def _large_pairs(rows: np.ndarray, sig, side, cls, comp, n, sketch: list, p: int, q: int) -> np.ndarray:
+    """The same within one block of many members, by products of their sketches."""
+    words = min(len(sketch[r]) for r in rows) // 8
+    bits = np.stack([np.unpackbits(folded(np.frombuffer(sketch[r], np.uint64), words).view(np.uint8)) for r in rows]).astype(np.float32) * 2 - 1
+    left, right = np.flatnonzero(side[rows] != 1), np.flatnonzero(side[rows] != 0)
+    out = []
+    for at in range(0, len(left), 128):
+        l, r = left[at : at + 128], rows[right]  # noqa: E741
+        nl = n[rows[l]][:, None]
+        apart = (bits.shape[1] - bits[l] @ bits[right].T) / 2
+        ok = (apart <= most_apart(nl, n[r], p, q)) & (np.minimum(nl, n[r]) * q >= np.maximum(nl, n[r]) * p) & (comp[rows[l]][:, None] != comp[r])
+        ok &= fragments.meets_here(sig[rows[0]], nl, n[r], p, q)
+        if side[rows[0]] == 2:
+            ok &= cls[rows[l]][:, None] < cls[r]
+        i, j = np.nonzero(ok)
+        out.append(np.stack([rows[l[i]], r[j]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of different components within each (sig, block) that sizes and sketches don't rule out.
+    """Pairs (a, b, na, nb) of different components within each (sig, block) that sizes and sketches don't rule out.
 
-    members: sig, block, side (0 meets 1; 2 meets its like), class, component, n, sketch.
+    members: sig, low, block, side (0 meets 1; 2 meets its like), class, component,
+    n, sketch. Near copies share many buckets, most with the same lowest member:
+    those go to one of SPREAD tasks, where a pair is named once.
     """
 
+    def pairs_of(numbers: np.ndarray, sketch: list) -> np.ndarray:
+        cut = np.flatnonzero(np.concatenate(([True], (numbers[1:, :2] != numbers[:-1, :2]).any(1))))
+        sizes = np.diff(np.append(cut, len(numbers)))
+        side, cls, comp, n = numbers[:, 2], numbers[:, 3], numbers[:, 4], numbers[:, 5]
+        four = np.stack([folded(np.frombuffer(x, np.uint64), 4) for x in sketch])
+        found = [np.zeros((0, 2), np.int64)]
+        small = (sizes <= 16) & (side[cut] == 2)
+        for m in np.unique(sizes[small]):
+            if m > 1:
+                for at in range(0, int((own := cut[small & (sizes == m)]).size), 4096):
+                    found.append(_small_pairs(int(m), own[at : at + 4096], numbers[:, 0], comp, n, four, p, q))
+        for first, m in zip(cut[~small], sizes[~small], strict=True):
+            found.append(_large_pairs(np.arange(first, first + m), numbers[:, 0], side, cls, comp, n, sketch, p, q))
+        ij = np.concatenate(found)
+        if not len(ij):
+            return np.zeros((0, 4), np.int64)
+        a, b = cls[ij[:, 0]], cls[ij[:, 1]]
+        ij[a > b] = ij[a > b][:, ::-1]
+        _, first = np.unique(np.stack([cls[ij[:, 0]], cls[ij[:, 1]]], 1), axis=0, return_index=True)
+        ij = ij[first]
+        near = [_apart(np.frombuffer(sketch[i], np.uint64), np.frombuffer(sketch[j], np.uint64)) <= most_apart(int(n[i]), int(n[j]), p, q) for i, j in ij]
+        ij = ij[np.array(near, bool)]
+        return np.stack([cls[ij[:, 0]], cls[ij[:, 1]], n[ij[:, 0]], n[ij[:, 1]]], 1)
+
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list = []
-
-        def flush(rows: list) -> list:
-            out = []
-            side = np.array([r[2] for r in rows])
-            cls, comp, n = (np.array([r[j] for r in rows], np.int64) for j in (3, 4, 5))
-            words = min(len(r[6]) for r in rows) // 8
-            bits = np.stack([np.unpackbits(folded(np.frombuffer(r[6], np.uint64), words).view(np.uint8)) for r in rows]).astype(np.float32) * 2 - 1
-            left = np.flatnonzero(side != 1)
-            right = np.flatnonzero(side != 0)
-            width = bits.shape[1]
-            for at in range(0, len(left), 256):
-                l = left[at : at + 256]  # noqa: E741
-                apart = (width - bits[l] @ bits[right].T) / 2
-                big, small = np.maximum(n[l][:, None], n[right]), np.minimum(n[l][:, None], n[right])
-                ok = (apart <= most_apart(n[l][:, None], n[right], p, q)) & (small * q >= big * p) & (comp[l][:, None] != comp[right])
-                if side[l[0]] == 2:
-                    ok &= cls[l][:, None] < cls[right]
-                i, j = np.nonzero(ok)
-                i, j = l[i], right[j]
-                out.append(np.stack([cls[i], cls[j], n[i], n[j]], 1))
-            return out
-
-        def batch(found: list) -> Iterator:
-            if found and len(a := np.unique(np.concatenate(found), axis=0)):
-                swap = a[:, 0] > a[:, 1]
-                a[swap] = a[swap][:, [1, 0, 3, 2]]
+        held, sketches = np.zeros((0, 6), np.int64), []
+
+        named: set[tuple[int, int]] = set()
+
+        def batch(numbers: np.ndarray, sketch: list) -> Iterator:
+            if len(numbers) > 1 and len(a := pairs_of(numbers, sketch)):
+                keys = list(zip(a[:, 0].tolist(), a[:, 1].tolist(), strict=True))
+                a = a[[x not in named for x in keys]]
+                if len(named) > 500_000:  # only spares repeats, which a distinct takes out anyway
+                    named.clear()
+                named.update(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(4)], ["a", "b", "na", "nb"])
 
-        found: list = []
         for part in parts:
-            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if held and held[-1][:2] != row[:2]:
-                    if len(held) > 1:
-                        found += flush(held)
-                    held = []
-                    if sum(map(len, found)) > 50_000:
-                        yield from batch(found)
-                        found = []
-                held.append(row)
-        if len(held) > 1:
-            found += flush(held)
-        yield from batch(found)
-
-    sorted_rows = members.repartition("sig", "block").sortWithinPartitions("sig", "block")
+            held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:6]], 1)])
+            sketches += part.column(6).to_pylist()
+            last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(1))  # the last bucket may go on
+            done = int(last[-1]) + 1 if len(last) else 0
+            yield from batch(held[:done], sketches[:done])
+            held, sketches = held[done:], sketches[done:]
+        yield from batch(held, sketches)
+
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SPREAD)))
+    sorted_rows = salted.repartition("low", "salt", "block").sortWithinPartitions("low", "salt", "sig", "block")
     return sorted_rows.select("sig", "block", "side", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(node, component) of the classes that have links; classes: class, n, sketch."""
-    buckets = _fragment_rows(docs, k, p, q).groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    buckets = written(buckets, "buckets")
+def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(node, component) of the classes that have links; hashed: document_classes(docs), written (and deleted here)."""
+    n_docs = hashed.count()
+    classes = written(hashed.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.min("key").alias("key")), "sets", n_docs)
+    buckets = _fragment_rows(hashed).groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    buckets = written(buckets, "buckets", 32 * n_docs)
     wanted = bitmap_of(buckets.select("sig"), buckets.count())
-    rows = written(_fragment_rows(docs, k, p, q, wanted).join(buckets, "sig").distinct(), "members")
-
-    size = classes.select(F.col("class").alias("of"), "n", "sketch")
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(size.select(F.col("of").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        return one.join(size.select(F.col("of").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-
-    ends = rows.select(F.explode(F.array(F.struct("class", F.col("low").alias("end")), F.struct("class", F.col("high").alias("end")))).alias("e")).select("e.*")
-    star = ends.where(F.col("class") != F.col("end")).select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
-    links = written(verified(docs, _near(with_sizes(star), p, q), k, p, q), "links")
-    first = connected_components(links)
+    release(docs.sparkSession)
+    rows = written(_fragment_rows(hashed, wanted).join(buckets, "sig").distinct(), "members", 32 * n_docs)
+    forget(hashed, buckets)
+    release(docs.sparkSession)
+
+    def held(pairs: DataFrame, sketch: str, sizes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the sketches in a column of ``sizes`` don't rule out."""
+        size = sizes.select(F.col("class").alias("of"), "n", F.col(sketch).alias("s"))
+        one = pairs.select("a", "b").join(size.select(F.col("of").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        return _near(one.join(size.select(F.col("of").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b"), p, q)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """By the short sketches first; sets that are too large for those by their whole ones."""
+        left = written(held(pairs, "short", classes), "near", n_docs)
+        few = F.least("na", "nb") <= 16 * FEW
+        return left.where(few).unionByName(held(left.where(~few), "sketch", classes.where(F.col("n") > 16 * FEW)))
+
+    ends = F.array(F.struct(F.col("low").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("high").alias("b")))
+    star = rows.select(F.explode(ends).alias("e")).select("e.*").where("a < b").distinct()
+    links = written(verified(docs, classes, near(star), n_docs, k, p, q), "links", n_docs)
+    first = connected_components(links, n_docs)
 
     # Buckets that hold different components: every pair of them that is left is looked at.
-    placed = rows.join(first.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", F.coalesce("component", "class").alias("component"))
-    placed = written(placed, "placed")
+    placed = rows.join(first.withColumnRenamed("node", "class"), "class", "left").select("sig", "low", "class", F.coalesce("component", "class").alias("component"))
+    placed = written(placed, "placed", 32 * n_docs)
+    release(docs.sparkSession)
     open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    members = placed.join(open_, "sig").join(size.withColumnRenamed("of", "class"), "class")
+    members = placed.join(open_, "sig").join(classes.select("class", "n", F.col("short").alias("sketch")), "class")
     # A bucket of more than BLOCK members is cut into blocks, and each pair of blocks meets once.
     spread = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     meet = F.transform(
@@ -271,10 +339,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int) ->
             F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"),
         ),
     )
-    laid = spread.select("sig", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "at.block", "at.side", "class", "component", "n", "sketch")
-    more = _blocks(laid, p, q).distinct().join(star, ["a", "b"], "left_anti")
-    found = verified(docs, more, k, p, q)
-    return connected_components(links.unionByName(found))
+    laid = spread.select("sig", "low", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "low", "at.block", "at.side", "class", "component", "n", "sketch")
+    more = _blocks(laid, p, q).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    found = verified(docs, classes, near(more), n_docs, k, p, q)
+    return connected_components(links.unionByName(found), n_docs)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -284,14 +352,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     shingles; component_id is the least doc_id reachable by links.
     """
     need(docs, "doc_id", "text")
-    rows = written(document_classes(docs, k), "classes")
+    hashed = written(document_classes(docs, k, p, q), "hashed")
+    rows = written(hashed.select("doc_id", "n_shingles", "class"), "classes")
     some = rows.where("n_shingles > 0")
-    classes = some.groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    joined = link_classes(docs, classes, k, p, q).select(F.col("node").alias("class"), "component")
+    joined = link_classes(docs, hashed, k, p, q).select(F.col("node").alias("class"), "component")
     placed = some.select("doc_id", "n_shingles", "class").join(joined, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.coalesce(max(12, rows.count() // ROWS_A_FILE))
 
 
 ORACLE = r"""

@@ -85,7 +85,7 @@ def words_of(buf: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def batches(texts: Sequence[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches(texts: Sequence[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Texts joined by a newline: (index of the first, buffer, offsets).
 
     Text k of a batch is ``buf[offsets[k] : offsets[k + 1] - 1]``; null is empty.
