@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,20 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet under the shared folder and read again: short lineage that survives lost executors."""
+#: Rows of a scratch file, about.
+ROWS_A_FILE = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows written as Parquet under the shared folder and read again: short lineage that survives lost executors.
+
+    ``rows``: about how many at most; small tables then go to few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(12, rows // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written()."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referred to, instead of whenever the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -49,6 +65,17 @@ def residue(column, modulus: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def _drawn(id_column):
+    """A number from 0 to 999999 by a hash of the id."""
+    return F.pmod(F.xxhash64(id_column.cast("string"), F.lit(7)), F.lit(1_000_000))
+
+
+def thinned(rows: DataFrame, most: int) -> DataFrame:
+    """About 4 * most rows (all, if there are fewer), chosen by a hash of doc_id: so what a limit sends to the driver doesn't grow with the input."""
+    share = 4 * most / max(1, rows.count())
+    return rows if share >= 1 else rows.where(_drawn(F.col("doc_id")) < int(share * 1_000_000) + 1)
+
+
 def labelled_sample(docs: DataFrame, most: int, longest: int, strata: str) -> list:
     """At most ``most`` labelled texts (rows of text and ``strata``), evenly by a hash of the id.
 
@@ -56,9 +83,10 @@ def labelled_sample(docs: DataFrame, most: int, longest: int, strata: str) -> li
     a null text or more than ``longest`` characters aren't used for fitting.
     """
     rows = (
-        docs.where(F.col(strata).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+        thinned(docs.where(F.col(strata).isNotNull()), most)
+        .where(F.col("text").isNotNull() & (F.length("text") <= longest))
         .select("doc_id", "text", strata)
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id", "text")
+        .orderBy(_drawn(F.col("doc_id")), "doc_id", "text")
         .limit(most)
     )
     return rows.collect()
@@ -67,9 +95,8 @@ def labelled_sample(docs: DataFrame, most: int, longest: int, strata: str) -> li
 def sampled_ids(labels: DataFrame, most: int, label: str) -> DataFrame:
     """At most ``most`` labelled ids by hash, one row an id (its greatest label): small enough to broadcast."""
     return (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .select("doc_id", label)
-        .orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id", F.desc(label))
+        thinned(labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label), most)
+        .orderBy(_drawn(F.col("doc_id")), "doc_id", F.desc(label))
         .limit(most)
         .groupBy("doc_id")
         .agg(F.max(label).alias(label))
