@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textkernel as K
-from ledgerloom.llm.common import labelled_sample, need, sampled_ids, with_text_columns
+from ledgerloom.llm.common import need, sampled_ids, with_text_columns
 
 FORMS, WORDS = 4096, 2048
 TYPES = FORMS + WORDS
@@ -116,7 +116,7 @@ class QualityModel:
         return out
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 1500, rate: float = 0.01, decay: float = 1e-3, seed: int = 5) -> tuple:
+def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 3000, rate: float = 0.01, decay: float = 3e-3, seed: int = 5) -> tuple:
     """Weights of a tanh layer and a logistic unit by Adam on mini-batches, and the temperature from a fifth held back."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -139,7 +139,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 150
         z = logit / temperature
         return float(np.mean(np.logaddexp(0, z) - y[hold] * z)) if len(hold) else 0.0
 
-    return *p[:3], float(p[3][0]), min(np.geomspace(0.25, 8, 61), key=lambda c: (loss(c), abs(np.log(c))))
+    return *p[:3], float(p[3][0]), min(np.geomspace(0.5, 8, 61), key=lambda c: (loss(c), abs(np.log(c))))
 
 
 def fit_quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 6000, longest: int = 200_000, size: int = 96) -> QualityModel:
@@ -152,7 +152,7 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 6000,
     need(labels, "doc_id", "quality")
     ids = sampled_ids(labels, most, "quality").select(F.col("doc_id").alias("labelled_id"), "quality")
     own = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
-    rows = labelled_sample(own, most, longest, "quality")
+    rows = own.where(F.col("text").isNotNull() & (F.length("text") <= longest)).orderBy("doc_id", "text").limit(most).collect()  # of few ids already
     texts, y = [r["text"].encode() for r in rows], np.array([float(r["quality"] > 0) for r in rows])
     sequences, shares = [], []
     for _, part, kinds in histograms(texts):
