@@ -138,7 +138,8 @@ def mix_sources(
             F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             # a key that tells null from any text
             F.concat_ws("\x1f", F.transform(members, lambda m: F.coalesce(F.concat(F.lit("="), m), F.lit("-")))).alias("pattern"),
-            F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("place"),
+            # 60 bits of a hash that SQL engines share
+            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long").alias("place"),
             *(F.col(c).alias(f"carried_{c}") for c in carry),
         ),
         "mix-sizes",
@@ -157,7 +158,7 @@ def mix_sources(
     weights = weights or {s: cycle[i % len(cycle)] for i, s in enumerate(order)}
     total = sum(r["words"] for r in found)
     targets = fill_targets(sizes, weights, share * total, repeats)
-    given = route([(frozenset(names_of[r["pattern"]]), r["words"]) for r in found], {s: int(round(targets[s])) for s in order}, repeats)
+    given = route([(frozenset(names_of[r["pattern"]]), r["words"]) for r in found], {s: math.floor(targets[s] + 0.5) for s in order}, repeats)
     # Where in the hashed order each pattern's last copy ends: first by bucket, then by row.
     rows = max((r["n"] for r in found), default=0)
     bits = max(6, min(20, (rows // 20_000).bit_length()))
@@ -166,7 +167,7 @@ def mix_sources(
         for r, g in zip(found, given, strict=True)
     ]
     plans = F.broadcast(spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, extra long"))
-    bucket = F.shiftrightunsigned("place", 64 - bits)
+    bucket = F.shiftright("place", 60 - bits)
     slim = slim.withColumn("bucket", bucket)
     so_far = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
@@ -181,7 +182,30 @@ def mix_sources(
     own = ["doc_id", "size", "source_size", "target", *(F.col(f"carried_{c}").alias(c) for c in carry)]
     inside = placed.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
     inside = inside.select(*own, (F.col("size") * (F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0))).alias("taken"))
-    line = Window.partitionBy("pattern").orderBy(F.shiftrightunsigned("place", 1), "place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("pattern").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(F.col("bucket") == F.col("cut")).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(line), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("ahead")))
     return inside.unionByName(edge.select(*own, (F.col("size") * F.col("whole") + part).alias("taken")))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source
+), t AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s
+), open AS (
+  SELECT arg_min(rest, 2.0 * source_size / w) AS rest, arg_min(weights, 2.0 * source_size / w) AS weights FROM t WHERE rest / weights <= cap / w
+), targets AS (
+  SELECT source, source_size, CASE WHEN open.rest * w / open.weights > cap THEN cap ELSE open.rest * w / open.weights END AS target FROM t, open
+), q AS (
+  SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS quota,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (quota // greatest(source_size, 1)) + greatest(0, least(size, quota % greatest(source_size, 1) - ahead)))::BIGINT AS taken FROM q
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, ngram_join
+from ledgerloom.llm import chat_format, embedding_dedup, mixing, ngram_join
 from ledgerloom.llm.common import residue
 from ledgerloom.llm.embedding_dedup import dedup_embeddings
 from ledgerloom.llm.html_text import extract_pages
@@ -90,5 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
