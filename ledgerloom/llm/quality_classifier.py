@@ -154,16 +154,14 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 6000,
     own = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
     rows = own.where(F.col("text").isNotNull() & (F.length("text") <= longest)).orderBy("doc_id", "text").limit(most).collect()  # of few ids already
     texts, y = [r["text"].encode() for r in rows], np.array([float(r["quality"] > 0) for r in rows])
-    sequences, shares = [], []
-    for _, part, kinds in histograms(texts):
-        shares.append(part)
-        sequences.append(kinds)
+    sequences = [[x.astype(np.int32) for x in kinds] for _, _, kinds in histograms(texts)]
     vectors = word_vectors(sequences, size)
+    del sequences
     if len(y) < 10 or y.min() == y.max():
         mean = y.mean() if len(y) else 0.5
         flat = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
         return QualityModel(vectors, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), flat, 1.0)
-    pooled = np.concatenate([s @ vectors for s in shares]).astype(float)
+    pooled = np.concatenate([shares @ vectors for _, shares, _ in histograms(texts)]).astype(float)
     mean, scale = pooled.mean(0), pooled.std(0) + 1e-6
     return QualityModel(vectors, mean, scale, *fit_network((pooled - mean) / scale, y))
 
