@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +35,25 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(12, rows // ROWS_A_FILE))
+        df = df.coalesce(max(6, rows // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows computed now and kept on the executors' disks; what a lost executor held is computed again. For tables whose inputs stay."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by written()."""
+    """Deletes tables made by written() or kept()."""
     for df in tables:
+        if df.is_cached:
+            df.unpersist()
+            continue
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -54,6 +65,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch at most, where rows are whole texts: a batch is held several times over on its way to Python and back.
+TEXTS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to TEXTS_A_BATCH rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_A_BATCH:
+        spark.conf.set(key, str(TEXTS_A_BATCH))
+
+
 def need(df: DataFrame, *columns: str) -> None:
     """Raises on missing input columns, before any job runs."""
     if lost := [c for c in columns if c not in df.columns]:
@@ -112,6 +134,7 @@ def with_text_columns(docs: DataFrame, added: str, function: Callable[[list], li
     from pyspark.sql.types import StructType
 
     need(docs, column)
+    small_batches(docs.sparkSession)
     fresh = StructType.fromDDL(added)
     kept = docs.drop(*(c for c in fresh.names if c != column))
     kept = kept.withColumn(column, F.col(column).cast("string"))

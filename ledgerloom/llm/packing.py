@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import need
+from ledgerloom.llm.common import need, small_batches
 from ledgerloom.llm.textkernel import utf8_list
 
 BLOCK = 1 << 21
@@ -184,6 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     executor has. with_ids: each piece's token ids too.
     """
     need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textkernel as K
-from ledgerloom.llm.common import need, sampled_ids
+from ledgerloom.llm.common import need, sampled_ids, small_batches
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "exclaims", "digits", "pipes", "punctuation", "distinct", "lines"]
@@ -195,6 +195,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             )
 
     need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _STATS)
 
 
