@@ -42,7 +42,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     # Rows that repeat an id are one document; rows without an id are told apart by their texts.
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return rows.withColumn("own", own).dropDuplicates(["doc_id", "own"]).select(COLUMNS)
+    kept_rows = rows.withColumn("own", own).dropDuplicates(["doc_id", "own"]).select(COLUMNS)
+    return kept_rows.coalesce(max(12, docs.count() // 10_000))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
