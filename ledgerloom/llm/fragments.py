@@ -4,12 +4,17 @@ The global order of n-grams is that of their hashes. Two sets whose Jaccard
 similarity is at least P/Q differ in at most d = floor((Q-P) * (a+b) / (Q+P))
 n-grams (a, b: their sizes). Sizes fall into levels of ratio Q/P; a set takes
 part in its own level and the next, so two similar sets always share the level
-of the larger one. A level cuts the order into d_max + 1 + SPARE fragments: at
-least 1 + SPARE of them hold no difference, so the two sets agree in a whole
-fragment. That fragment isn't empty unless both have more than SPARE empty
-fragments; only such sets announce their empty fragments, too.
-
-So candidates that agree in a fragment are complete: no similar pair is missed.
+of the larger one. A level cuts the order into d_max + needed + SPARE
+fragments: needed + SPARE of them or more hold no difference, so the two sets
+agree in that many whole fragments. At most SPARE of those are empty, unless
+both sets have more than SPARE empty fragments; only such sets announce their
+empty fragments, too. So two similar sets share ``needed`` announced fragments.
+Large sets' levels have 2 * DROP fragments more: then each set may disregard
+any DROP of its fragments (those of passages that many texts share), and
+similar sets still share as many.
+
+Levels at which sets can't differ at all announce nothing: similar sets of that
+size are equal. So candidates are complete: no similar pair is missed.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import numpy as np
 from ledgerloom.llm.textkernel import mix
 
 SPARE = 3
+NEEDED = 4
+DROP = 3
 
 
 def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -37,9 +44,30 @@ def level_starts(p: int, q: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(starts)
 
 
+def differences(level: int | np.ndarray, p: int, q: int) -> int | np.ndarray:
+    """In how many n-grams two similar sets of a level differ at most."""
+    largest = level_starts(p, q)[level + 1] - 1
+    return (q - p) * 2 * largest // (q + p)
+
+
+def needed(d: int | np.ndarray) -> int | np.ndarray:
+    """How many announced fragments similar sets are sure to share; more than one where sets are large enough for few empty fragments."""
+    return np.where(np.asarray(d) < 8, 1, NEEDED)
+
+
+def may_drop(d: int | np.ndarray) -> bool | np.ndarray:
+    return np.asarray(d) >= 8
+
+
+def droppable(n: int, p: int, q: int) -> int:
+    """Bit b: a set of n may disregard DROP fragments of its level whose number is b modulo 2."""
+    own = int(level_of(np.array(n), p, q))
+    return sum(1 << (level & 1) for level in (own, own + 1) if may_drop(differences(level, p, q)))
+
+
 def fragments_of_level(level: int, p: int, q: int) -> int:
-    largest = int(level_starts(p, q)[level + 1]) - 1
-    return (q - p) * 2 * largest // (q + p) + 1 + SPARE
+    d = int(differences(level, p, q))
+    return d + int(needed(d)) + SPARE + 2 * DROP * int(may_drop(d)) if d else 0
 
 
 def level_of(n: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -52,6 +80,11 @@ def meets_here(sig: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) ->
     return (level_of(np.maximum(a, b), p, q) & 1) == (sig & 1)
 
 
+def sure_to_share(a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
+    """How many fragments of the larger one's level two similar sets of these sizes share at least."""
+    return needed(differences(level_of(np.maximum(a, b), p, q), p, q))
+
+
 def signatures(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
     """The hashes of a set's fragments at both its levels; the lowest bit is the level's. shingles: sorted distinct 64-bit hashes."""
     n = len(shingles)
@@ -63,6 +96,8 @@ def signatures(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
     out = []
     for level in (own, own + 1):
         pieces = fragments_of_level(level, p, q)
+        if not pieces:
+            continue
         at = ((high * np.uint64(pieces)) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         total = np.add.reduceat(spread, first)
@@ -71,4 +106,4 @@ def signatures(shingles: np.ndarray, p: int, q: int) -> np.ndarray:
             empty = np.setdiff1d(np.arange(pieces), number)
             number, total = np.concatenate([number, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
         out.append(mix(total ^ mix(number.astype(np.uint64) + np.uint64(level << 32))) & ~np.uint64(1) | np.uint64(level & 1))
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -7,9 +7,11 @@
 3. Each bucket's members are compared with its two extreme members; what a
    parity sketch can't rule out is verified: partial overlaps are counted
    fragment by fragment, and summed per pair.
-4. Buckets whose members already are one component are done. In the others
+4. Buckets whose members already are one component are done. A set leaves out
+   its few largest others, as fragments enough remain. In what is left
    all pairs of different components are held against the sketch, in blocks
-   within a task, and what is left is verified. So no link between different
+   within a task; those that share as many fragments as similar sets must are
+   verified. So no link between different
    components is lost, and groups of near copies aren't expanded into pairs.
 
 Texts never move. One pass hashes them and writes each class's sketch and
@@ -30,23 +32,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import fragments
 from ledgerloom.llm import textkernel as K
 from ledgerloom.llm.bitmap import Bitmap, bitmap_of
-from ledgerloom.llm.common import ROWS_A_FILE, forget, need, release, written
+from ledgerloom.llm.common import ROWS_A_FILE, forget, kept, need, release, small_batches, written
 from ledgerloom.llm.components import connected_components
 
 #: Fragments in which overlaps are counted.
-PARTS = 4
+PARTS = 2
 #: Words of the shorter sketch that travels with each member of a bucket; the whole one is held against the pairs that it lets through.
-FEW = 16
+FEW = 32
 #: Members of a bucket that meet in one block.
 BLOCK = 1024
 #: Tasks among which buckets of one lowest member are dealt.
-SPREAD = 8
+SPREAD = 4
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -95,19 +97,20 @@ def document_classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
 
         seen: set[int] = set()
         for part in (x for whole in parts for x in _slices(whole)):
-            n, cls, sketch, sigs = [], [], [], []
+            n, cls, sketch, sigs, drops = [], [], [], [], []
             for s in K.shingle_sets(K.utf8_list(part.column(2)), k):
                 n.append(len(s))
+                drops.append(fragments.droppable(len(s), p, q) if len(s) else 0)
                 cls.append(c := class_of(s))
                 sketch.append(sketch_of(s, sketch_words(len(s))).tobytes() if len(s) else b"")
                 sigs.append(b"" if c in seen else fragments.signatures(s, p, q).tobytes())
                 seen.add(c)
             short = [folded(np.frombuffer(x, np.uint64), min(FEW, len(x) // 8)).tobytes() if x else b"" for x in sketch]
-            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketch, short, sigs))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "n_shingles", "class", "sketch", "short", "sigs"])
+            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketch, short, sigs)), pa.array(drops, pa.int32())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "n_shingles", "class", "sketch", "short", "sigs", "drops"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, class long, sketch binary, short binary, sigs binary")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, class long, sketch binary, short binary, sigs binary, drops int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -234,7 +237,9 @@ def _large_pairs(rows: np.ndarray, sig, side, cls, comp, n, sketch: list, p: int
 
 
 def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components within each (sig, block) that sizes and sketches don't rule out.
+    """Pairs (a, b, times, needed) of different components within each (sig, block) that sizes and sketches don't rule out.
+
+    times: in how many of a task's buckets; needed: in how many in all similar sets are.
 
     members: sig, low, block, side (0 meets 1; 2 meets its like), class, component,
     n, sketch. Near copies share many buckets, most with the same lowest member:
@@ -259,27 +264,30 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
             return np.zeros((0, 4), np.int64)
         a, b = cls[ij[:, 0]], cls[ij[:, 1]]
         ij[a > b] = ij[a > b][:, ::-1]
-        _, first = np.unique(np.stack([cls[ij[:, 0]], cls[ij[:, 1]]], 1), axis=0, return_index=True)
-        ij = ij[first]
-        near = [_apart(np.frombuffer(sketch[i], np.uint64), np.frombuffer(sketch[j], np.uint64)) <= most_apart(int(n[i]), int(n[j]), p, q) for i, j in ij]
-        ij = ij[np.array(near, bool)]
-        return np.stack([cls[ij[:, 0]], cls[ij[:, 1]], n[ij[:, 0]], n[ij[:, 1]]], 1)
+        pair, first, times = np.unique(np.stack([cls[ij[:, 0]], cls[ij[:, 1]]], 1), axis=0, return_index=True, return_counts=True)
+        i, j = ij[first].T
+        near = [_apart(np.frombuffer(sketch[x], np.uint64), np.frombuffer(sketch[y], np.uint64)) <= most_apart(int(n[x]), int(n[y]), p, q) for x, y in zip(i, j, strict=True)]
+        return np.column_stack([pair, times, fragments.sure_to_share(n[i], n[j], p, q)])[np.array(near, bool)]
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
         held, sketches = np.zeros((0, 6), np.int64), []
 
-        named: set[tuple[int, int]] = set()
+        met: dict[tuple[int, int], list[int]] = {}
+
+        def named() -> Iterator:
+            if met:
+                a = np.array([[*pair, *found] for pair, found in met.items()], np.int64)
+                met.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(4)], ["a", "b", "times", "needed"])
 
         def batch(numbers: np.ndarray, sketch: list) -> Iterator:
-            if len(numbers) > 1 and len(a := pairs_of(numbers, sketch)):
-                keys = list(zip(a[:, 0].tolist(), a[:, 1].tolist(), strict=True))
-                a = a[[x not in named for x in keys]]
-                if len(named) > 500_000:  # only spares repeats, which a distinct takes out anyway
-                    named.clear()
-                named.update(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(4)], ["a", "b", "na", "nb"])
+            if len(numbers) > 1:
+                for a, b, times, needed in pairs_of(numbers, sketch).tolist():
+                    met.setdefault((a, b), [0, needed])[0] += times
+                if len(met) > 200_000:
+                    yield from named()
 
         for part in parts:
             held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:6]], 1)])
@@ -289,18 +297,19 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
             yield from batch(held[:done], sketches[:done])
             held, sketches = held[done:], sketches[done:]
         yield from batch(held, sketches)
+        yield from named()
 
     salted = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SPREAD)))
     sorted_rows = salted.repartition("low", "salt", "block").sortWithinPartitions("low", "salt", "sig", "block")
-    return sorted_rows.select("sig", "block", "side", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long, na long, nb long")
+    return sorted_rows.select("sig", "block", "side", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long, times long, needed long")
 
 
 def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(node, component) of the classes that have links; hashed: document_classes(docs), written (and deleted here)."""
     n_docs = hashed.count()
-    classes = written(hashed.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.min("key").alias("key")), "sets", n_docs)
+    classes = written(hashed.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.max("drops").alias("drops"), F.min("key").alias("key")), "sets", n_docs)
     buckets = _fragment_rows(hashed).groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    buckets = written(buckets, "buckets", 32 * n_docs)
+    buckets = kept(buckets)
     wanted = bitmap_of(buckets.select("sig"), buckets.count())
     release(docs.sparkSession)
     rows = written(_fragment_rows(hashed, wanted).join(buckets, "sig").distinct(), "members", 32 * n_docs)
@@ -316,6 +325,7 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
     def near(pairs: DataFrame) -> DataFrame:
         """By the short sketches first; sets that are too large for those by their whole ones."""
         left = written(held(pairs, "short", classes), "near", n_docs)
+        release(docs.sparkSession)
         few = F.least("na", "nb") <= 16 * FEW
         return left.where(few).unionByName(held(left.where(~few), "sketch", classes.where(F.col("n") > 16 * FEW)))
 
@@ -326,10 +336,15 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
 
     # Buckets that hold different components: every pair of them that is left is looked at.
     placed = rows.join(first.withColumnRenamed("node", "class"), "class", "left").select("sig", "low", "class", F.coalesce("component", "class").alias("component"))
-    placed = written(placed, "placed", 32 * n_docs)
+    placed = kept(placed)
     release(docs.sparkSession)
     open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    members = placed.join(open_, "sig").join(classes.select("class", "n", F.col("short").alias("sketch")), "class")
+    members = placed.join(open_, "sig").join(classes.select("class", "n", F.col("short").alias("sketch"), "drops"), "class")
+    # Each set disregards its DROP largest buckets of a level, where fragments enough remain.
+    level = F.col("sig").bitwiseAND(1)
+    hottest = Window.partitionBy("class", level).orderBy(F.desc("m"), "sig")
+    spared = F.when(level == 0, F.col("drops").bitwiseAND(1)).otherwise(F.col("drops").bitwiseAND(2)) > 0
+    members = members.withColumn("rank", F.row_number().over(hottest)).where(~spared | (F.col("rank") > fragments.DROP))
     # A bucket of more than BLOCK members is cut into blocks, and each pair of blocks meets once.
     spread = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     meet = F.transform(
@@ -340,7 +355,10 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
         ),
     )
     laid = spread.select("sig", "low", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "low", "at.block", "at.side", "class", "component", "n", "sketch")
-    more = _blocks(laid, p, q).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    met = _blocks(laid, p, q).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
+    more = written(met.where("times >= needed").select("a", "b").join(star, ["a", "b"], "left_anti"), "met", 4 * n_docs)
+    forget(placed)
+    release(docs.sparkSession)
     found = verified(docs, classes, near(more), n_docs, k, p, q)
     return connected_components(links.unionByName(found), n_docs)
 
@@ -352,6 +370,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     shingles; component_id is the least doc_id reachable by links.
     """
     need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
     hashed = written(document_classes(docs, k, p, q), "hashed")
     rows = written(hashed.select("doc_id", "n_shingles", "class"), "classes")
     some = rows.where("n_shingles > 0")
@@ -360,7 +379,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.coalesce(max(12, rows.count() // ROWS_A_FILE))
+    return out.coalesce(max(6, rows.count() // ROWS_A_FILE))
 
 
 ORACLE = r"""
