@@ -1,18 +1,24 @@
 """Packing documents into fixed windows with their lexical neighbours.
 
-Each partition of the input is a shard. A shard goes through in blocks of about
-BLOCK tokens: a block's documents get a BM25 inverted index of their token ids;
-a seed document queries it with its weightiest terms, and the unused
-neighbours, best first, fill the window. The document at the window's end is
-cut there and its rest seeds the next window, so windows are full. What a
-block leaves over is cut into sequences whose lengths are powers of two, which
-need no padding either. Memory is bounded by a block (or one longer document);
-nothing is shuffled.
+The texts become token ids once, in a scratch table; document frequencies, the
+number of documents and their mean length are taken over all of them. What a
+document holds beyond its whole windows is its item. Items are ordered by the
+terms that weigh most in them, among terms common enough to fill a good part of
+a shard, and dealt by ranges of that order to shards of about BLOCK tokens: so
+related items meet whatever file they come from, a frequent first term is
+divided by the next ones, and equal items by their place. A shard gets a BM25
+inverted index with the statistics of the whole table; a seed queries it with
+all its terms, and the unused neighbours, best first, fill the window. The item
+at the window's end is cut there and its rest seeds the next window, so windows
+are full. What a shard leaves over is cut into sequences whose lengths are
+powers of two, which need no padding either. Memory is bounded by a shard.
+
+Neighbours in another shard aren't found: a search over all items for every
+window would grow with the square of the table (README).
 
 Defined results: null and empty texts are the end id alone; repeated rows are
 packed each for itself; rows with a null id are packed too; extra columns are
-ignored; an empty table gives an empty result. The input should be a table or a
-checkpoint: rows then have the same places when a lost task runs again.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import need, small_batches
+from ledgerloom.llm.common import need, small_batches, written
 from ledgerloom.llm.textkernel import utf8_list
 
 BLOCK = 1 << 21
-QUERY_TERMS = 20
+#: Terms that order the items.
+KEYS = 3
 
 #: The byte-level pre-tokenizer's pattern (a fixed value).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,36 +93,50 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each occurs."""
+    s = np.sort(ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    return s[first].astype(np.int64), np.diff(np.append(first, len(s)))
+
+
+class Statistics:
+    """What BM25 needs to know of a whole table: number of documents, their mean length, document frequencies by term."""
+
+    def __init__(self, n: int, mean: float, frequency: np.ndarray):
+        self.n, self.mean, self.frequency = n, max(mean, 1), frequency
+        self.idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+
+    def weights(self, term: np.ndarray, count: np.ndarray, length, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        return (self.idf[term] * count * (k1 + 1) / (count + k1 * (1 - b + b * length / self.mean))).astype(np.float32)
+
+    def keys(self, ids: np.ndarray, least: float) -> list[int]:
+        """The KEYS weightiest terms: those of ``least`` documents or more, then the others; -1 where there are no more."""
+        term, count = counted(ids)
+        weight = self.weights(term, count, len(ids))
+        best = np.lexsort((-weight, self.frequency[term] < least))[:KEYS]
+        return term[best].tolist() + [-1] * (KEYS - len(best))
+
+
 class Index:
-    """BM25 over a block's items: postings by term, and each item's weightiest terms."""
-
-    def __init__(self, items: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        terms, counts, owner = [], [], []
-        for i, ids in enumerate(items):
-            s = np.sort(ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-            terms.append(s[first].astype(np.int64))
-            counts.append(np.diff(np.append(first, len(s))))
-            owner.append(len(first))
-        self.n = len(items)
-        term, count = np.concatenate(terms), np.concatenate(counts)
+    """BM25 over a shard's items: postings by term, and each item's terms. Without statistics of a table those of the items count."""
+
+    def __init__(self, items: list[np.ndarray], statistics: Statistics | None = None):
+        found = [counted(x) for x in items]
+        self.n, self.query = len(items), [t for t, _ in found]
+        owner = [len(t) for t in self.query]
+        term, count = np.concatenate(self.query), np.concatenate([c for _, c in found])
         doc = np.repeat(np.arange(self.n), owner)
         length = np.array([len(x) for x in items])
         frequency = np.bincount(term)
-        idf = np.log1p((self.n - frequency + 0.5) / (frequency + 0.5))
-        weight = (idf[term] * count * (k1 + 1) / (count + k1 * (1 - b + b * length / max(length.mean(), 1))[doc])).astype(np.float32)
+        statistics = statistics or Statistics(self.n, length.mean(), frequency)
+        weight = statistics.weights(term, count, length[doc])
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
         self.first = np.concatenate(([0], np.cumsum(frequency)))
-        self.query = []
-        at = 0
-        for t, n in zip(terms, owner, strict=True):
-            own = weight[at : at + n]
-            self.query.append(t if n <= QUERY_TERMS else t[np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS]])
-            at += n
 
     def neighbours(self, item: int, unused: np.ndarray, most: int) -> np.ndarray:
-        """Unused items that share a query term, best first (equal scores: lower number first)."""
+        """Unused items that share a term, best first (equal scores: lower number first)."""
         spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[item]]
         if not spans:
             return np.zeros(0, np.int64)
@@ -126,7 +147,7 @@ class Index:
         return best[np.lexsort((best, -score[best]))]
 
 
-def pack_block(lengths: Sequence[int], ids: Sequence[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def pack_block(lengths: Sequence[int], ids: Sequence[np.ndarray], window: int, statistics: Statistics | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) over documents of the given lengths (end id included)."""
     items, starts = [], []
     for d, n in enumerate(lengths):
@@ -136,7 +157,7 @@ def pack_block(lengths: Sequence[int], ids: Sequence[np.ndarray], window: int) -
             items.append(d), starts.append(n - n % window)
     if not items:
         return
-    index = Index([ids[d][s:] for d, s in zip(items, starts, strict=True)])
+    index = Index([ids[d][s:] for d, s in zip(items, starts, strict=True)], statistics)
     left = np.array([lengths[d] - s for d, s in zip(items, starts, strict=True)])
     unused, sequence, room, cursor = np.ones(len(items), bool), [], window, 0
     seed, ahead = 0, [0]
@@ -177,65 +198,152 @@ def pack_block(lengths: Sequence[int], ids: Sequence[np.ndarray], window: int) -
         sequence = rest
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def _encoded(docs: DataFrame, tokenizer: str, window: int, end_id: int, whole: bool) -> DataFrame:
+    """Token ids: place, doc_id, doc_tokens, windows (checksums of whole windows), ids (those beyond the whole windows, or all).
+
+    Each task adds a row without a place, whose ids are how many of its documents have each term.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        own = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        size = max(*own.tokenizer.get_vocab().values(), end_id) + 1
+        narrow = "<u2" if size <= 1 << 16 else "<u4"
+        context = TaskContext.get()
+        place = (context.partitionId() if context else 0) << 32
+        frequency = np.zeros(size, "<i8")
+        id_type = None
+        for part in parts:
+            id_type = part.schema.types[0]
+            tokens, windows, ids = [], [], []
+            for text in utf8_list(part.column(1)):
+                made = np.append(own.encode((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
+                frequency[counted(made)[0]] += 1
+                rest = len(made) - len(made) % window
+                tokens.append(len(made))
+                windows.append([zlib.crc32(made[k : k + window].data) for k in range(0, rest, window)])
+                ids.append(made[0 if whole else rest :].astype(narrow).tobytes())
+            places = np.arange(place, place + len(ids))
+            place += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(places), part.column(0), pa.array(tokens, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(ids, pa.binary())], ENCODED)
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([frequency.tobytes()], pa.binary())], ENCODED)
+
+    return docs.mapInArrow(run, f"place long, doc_id {kind}, doc_tokens long, windows array<long>, ids binary")
+
+
+def _statistics(encoded: DataFrame, window: int) -> tuple[Statistics, int]:
+    """The statistics of all documents, and how many ids are beyond whole windows."""
+
+    def terms(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in parts:
+            for x in part.column(0).to_pylist():
+                frequency = np.frombuffer(x, "<i8")
+                term = np.flatnonzero(frequency)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(frequency[term])], ["term", "n"])
+
+    total = encoded.where("place IS NOT NULL").agg(F.count("*"), F.sum("doc_tokens"), F.sum(F.col("doc_tokens") % window)).first()
+    rows = encoded.where("place IS NULL").select("ids").mapInArrow(terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    frequency = np.zeros(max((r.term for r in rows), default=0) + 1)
+    for r in rows:
+        frequency[r.term] = r.n
+    return Statistics(total[0], (total[1] or 0) / max(total[0], 1), frequency), total[2] or 0
+
+
+def _ids(data: bytes, count: int) -> np.ndarray:
+    """Stored ids, of two or four bytes each."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * count else "<u4").astype("<u4")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False, block: int = BLOCK) -> DataFrame:
     """Pieces of packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     docs: doc_id, text. tokenizer: the path of a byte-level BPE file that every
-    executor has. with_ids: each piece's token ids too.
+    executor has. with_ids: each piece's token ids too. block: about how many
+    tokens a shard has.
     """
     need(docs, "doc_id", "text")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    encoded = written(_encoded(slim, tokenizer, window, end_id, with_ids), "packing")
+    made, rest = _statistics(encoded, window)
+    shards = max(1, -(-rest // block))
+    least = made.n / shards / 3
+    shared = spark.sparkContext.broadcast(made)
+
+    def keyed(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in parts:
+            tokens, data = part.column(2).to_pylist(), part.column(4).to_pylist()
+            keys = [shared.value.keys(_ids(x, n if with_ids else n % window)[n - n % window if with_ids else 0 :], least) for n, x in zip(tokens, data, strict=True)]
+            columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(KEYS)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*ENCODED, *names])
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         context = TaskContext.get()
         sequence_id = (context.partitionId() if context else 0) << 32
-        names: list = []
+        # of each document: id, tokens, checksums of whole windows, all ids (with_ids), and the ids beyond whole windows
+        doc_ids: list = []
+        tokens: list[int] = []
+        windows: list[list[int]] = []
+        full: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator:
             nonlocal sequence_id, held
-            lengths = [len(x) for x in ids]
             doc, start, length, crc, seq, offset = [], [], [], [], [], []
-            for pieces in pack_block(lengths, ids, window):
+            for d, checks in enumerate(windows):
+                for k, check in enumerate(checks):
+                    doc.append(d), start.append(k * window), length.append(window), seq.append(sequence_id), offset.append(0), crc.append(check)
+                    sequence_id += 1
+            for pieces in pack_block([len(x) for x in ids], ids, window, shared.value):
                 at = 0
                 for d, s, n in pieces:
-                    doc.append(d), start.append(s), length.append(n), seq.append(sequence_id), offset.append(at)
+                    doc.append(d), start.append(tokens[d] - len(ids[d]) + s), length.append(n), seq.append(sequence_id), offset.append(at)
                     crc.append(zlib.crc32(ids[d][s : s + n].data))
                     at += n
                 sequence_id += 1
             which = pa.array(doc, pa.int64())
-            columns = [pa.array(names, slim_type).take(which), start, length, crc, pa.array(lengths, pa.int64()).take(which), seq, offset]
+            columns = [pa.array(doc_ids, id_type).take(which), start, length, crc, pa.array(tokens, pa.int64()).take(which), seq, offset]
             if with_ids:
-                columns.append(pa.array([ids[d][s : s + n].astype(np.int64) for d, s, n in zip(doc, start, length, strict=True)], pa.list_(pa.int64())))
+                columns.append(pa.array([full[d][s : s + n].astype(np.int64) for d, s, n in zip(doc, start, length, strict=True)], pa.list_(pa.int64())))
             columns = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
-            names.clear(), ids.clear()
+            for held_rows in (doc_ids, tokens, windows, full, ids):
+                held_rows.clear()
             held = 0
             yield from pa.Table.from_arrays(columns, names=[*NAMES, "ids"][: len(columns)]).to_batches(20_000)
 
-        slim_type = None
+        id_type = None
         for part in parts:
-            slim_type = part.schema.types[0]
-            texts = utf8_list(part.column(1))
-            keys = part.column(0).to_pylist()
-            for key, text in zip(keys, texts, strict=True):
-                made = own.encode((text or b"").decode("utf-8", "replace"))
-                ids.append(np.append(made, np.uint32(end_id)).astype("<u4"))
-                names.append(key)
-                held += len(made) + 1
-                if held >= BLOCK:
+            id_type = part.schema.types[1]
+            for key, n, checks, data in zip(*(part.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                stored = _ids(data, n if with_ids else n % window)
+                doc_ids.append(key), tokens.append(n), windows.append(checks)
+                full.append(stored if with_ids else stored[:0]), ids.append(stored[len(stored) - n % window :])
+                held += n if with_ids else n % window
+                if held >= 2 * block:  # a shard much larger than planned
                     yield from flush()
         if ids:
             yield from flush()
 
-    return slim.mapInArrow(run, schema + (", ids array<long>" if with_ids else ""))
+    names = [f"key{i}" for i in range(KEYS)]
+    order = [*names, "place"]
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    rows = encoded.where("place IS NOT NULL").mapInArrow(keyed, f"place long, doc_id {kind}, doc_tokens long, windows array<long>, ids binary, " + ", ".join(f"{k} int" for k in names))
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, schema + (", ids array<long>" if with_ids else ""))
 
 
+ENCODED = ["place", "doc_id", "doc_tokens", "windows", "ids"]
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -105,6 +105,32 @@ def test_neighbours_share_words():
     assert [d for d, _, _ in first] == [0, 2]
 
 
+def test_packing_finds_neighbours_in_other_partitions(spark):
+    """Sixteen topics of eight documents, one of each topic a partition: windows hold one topic, in one shard and in several."""
+    rng = np.random.default_rng(6)
+    topics = [[f"{a}{b}" for a in rng.choice([*"bcdfghklmnprst"], 30) for b in rng.choice(["orandi", "ustile", "emaquo"], 1)] for _ in range(16)]
+    rows = [(16 * p + t, " ".join(f"topic{t}x{w}" for w in rng.choice(topics[t], 25))) for p in range(8) for t in range(16)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string").localCheckpoint()
+    for block, least in ((1 << 21, 0.9), (3000, 0.7)):
+        pieces = packing.pack_documents(docs, BPE, window=256, block=block).collect()
+        check_pieces(pieces, dict(rows), 256)
+        own = collections.defaultdict(lambda: collections.Counter())
+        for r in pieces:
+            own[r.sequence_id][r.doc_id % 16] += r.length
+        assert sum(max(c.values()) for c in own.values()) > least * sum(r.length for r in pieces)
+
+
+def test_neighbours_by_all_terms():
+    """An item's light terms count too, and weights are those of the table that the statistics describe."""
+    common, rare = np.arange(2, 10, dtype=np.uint32), np.arange(100, 150, dtype=np.uint32)
+    items = [np.concatenate((common, rare)), np.arange(200, 210, dtype=np.uint32), common]
+    frequency = np.ones(300)
+    frequency[2:10] = 900
+    index = packing.Index(items, packing.Statistics(1000, 50.0, frequency))
+    assert index.neighbours(0, np.array([False, True, True]), 2).tolist() == [2]
+    assert index.weight.max() > 40 * index.weight.min()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=25))
 def test_blocks_lose_nothing(lengths):
