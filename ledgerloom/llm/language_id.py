@@ -71,6 +71,12 @@ def pieces(codes: np.ndarray) -> list[np.ndarray]:
     return [codes[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def spread(texts: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
+    """At most ``most`` pieces: one of each text, at changing places, before a second one of any."""
+    rounds = max(map(len, texts), default=0)
+    return [own[(i + k) % len(own)] for k in range(rounds) for i, own in enumerate(texts) if k < len(own)][:most]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -122,17 +128,19 @@ class LanguageModel:
 def fit_language_id(docs: DataFrame, most: int = 3000, landmarks: int = 160, longest: int = 100_000, ridge: float = 1e-3) -> LanguageModel:
     """A model of docs.lang from at most ``most`` labelled texts of at most ``longest`` characters.
 
-    Rows to hold out must be taken from docs before. Landmarks are shared evenly
-    among the languages of the sample.
+    Rows to hold out must be taken from docs before. All pieces of a text are
+    learned, each with its share of the text's length as weight. Landmarks are
+    shared evenly among the languages of the sample and drawn from all places in
+    the texts.
     """
     need(docs, "doc_id", "text", "lang")
     rows = [(coded(r["text"].encode()), r["lang"]) for r in labelled_sample(docs, most, longest, "lang")]
-    rows = [(pieces(c)[0], y) for c, y in rows if len(c)]
-    languages = sorted({y for _, y in rows})
+    texts = [(pieces(c), y) for c, y in rows if len(c)]
+    languages = sorted({y for _, y in texts})
     if not languages:
         return LanguageModel([], np.zeros(0, np.int32), np.zeros((1, 1), np.float32), np.zeros((1, 1)))
     each = max(1, landmarks // len(languages))
-    marks = [c for lang in languages for c in [c for c, y in rows if y == lang][:each]]
+    marks = [c for lang in languages for c in spread([own for own, y in texts if y == lang], each)]
     known = np.unique(np.concatenate([g for c in marks for g in grams(c)]))
     column = np.zeros(SPACE_OF_CODES, np.int32)
     column[known] = 1 + np.arange(len(known))
@@ -146,9 +154,10 @@ def fit_language_id(docs: DataFrame, most: int = 3000, landmarks: int = 160, lon
     among = (has.T @ has).astype(float)
     value, vector = np.linalg.eigh(among)
     root = vector / np.sqrt(np.maximum(value, 1e-6))
-    phi = model.kernel([c for c, _ in rows]).astype(float) @ root
-    y = np.array([[1.0 if lang == l else 0.0 for l in languages] for _, lang in rows])  # noqa: E741
-    model.weights = root @ np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
+    phi = model.kernel([c for own, _ in texts for c in own]).astype(float) @ root
+    y = np.array([[1.0 if lang == l else 0.0 for l in languages] for own, lang in texts for _ in own])  # noqa: E741
+    share = np.array([len(c) / sum(map(len, own)) for own, _ in texts for c in own])[:, None]
+    model.weights = root @ np.linalg.solve(phi.T @ (share * phi) + ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ (share * y))
     return model
 
 

@@ -192,6 +192,16 @@ def test_language_id_held_out(spark):
     assert len(held) > 150 and np.mean(held) > 0.97
 
 
+def test_language_id_learns_whole_texts(spark):
+    """Texts that all begin with the same long foreign heading are told apart by what follows."""
+    heading = "lorem ipsum dolor sit amet consectetur " * 200
+    words = {"de": "der hund und die katze schlafen nicht ", "en": "the dog with this cow thinks what they say "}
+    rows = [(i, heading + words[lang] * 250, lang) for i, lang in enumerate(["de", "en"] * 10)]
+    model = fit_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, scores = model.predict([words["de"].encode(), words["en"].encode(), (heading + words["en"] * 400).encode()])
+    assert names == ["de", "en", "en"] and min(scores) > 0.6
+
+
 def test_language_id_edge_rows(spark):
     more = ["das ist ein kurzer deutscher text über nichts", "this is a short english text about nothing"] * 6
     rows = [(100 + i, t, "de" if i % 2 == 0 else "en") for i, t in enumerate(more)]
