@@ -62,7 +62,8 @@ class Line:
     text: str
     side: bool  # known not to be article text
     linked: float  # share of characters in links
-    marked: bool  # inside what the page marks as its article
+    marked: int  # 2 inside an article, 1 inside another container of text
+    lifted: bool = False  # in a container of text whose surroundings are aside unless they hold the article
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -103,20 +104,25 @@ def strip_markup(page: str) -> list[Line]:
     stack: list[tuple[str, int, int, bool]] = []  # tag, side, mark, link
     parts: list[str] = []
     linked = 0
-    side = link = False
+    side = link = lifted = False
     marked = 0  # 2 inside an article, 1 inside another container of text
 
     def close() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                lines.append(Line(text, side, linked / len(text), marked))
+                lines.append(Line(text, side, linked / len(text), marked, lifted))
             parts.clear()
         linked = 0
 
+    def lifts() -> bool:
+        last = max(i for i, s in enumerate(stack) if s[1])
+        return all(s[1] < 2 for s in stack) and any(s[2] for s in stack[last + 1 :])
+
     def state() -> None:
-        nonlocal side, marked, link
+        nonlocal side, marked, link, lifted
         side = any(s[1] for s in stack)
+        lifted = side and lifts()
         marked = max((s[2] for s in stack), default=0)
         link = any(s[3] for s in stack)
 
@@ -174,6 +180,7 @@ def strip_markup(page: str) -> list[Line]:
             state()
         stack.append(entry)
         side, marked, link = side or entry[1] > 0, max(marked, mark), link or entry[3]
+        lifted = side and lifts()
     add(page[at:])
     close()
     return lines
@@ -181,12 +188,18 @@ def strip_markup(page: str) -> list[Line]:
 
 def weights(lines: list[Line]) -> tuple[list[int], bool]:
     """Text length of each line, 0 for lines that can't be article text; and whether the page marks its text."""
-    best = max((x.marked for x in lines if not x.side), default=0)
-    return [0 if x.side or x.marked < best or not best and x.linked > 0.6 else len(x.text) for x in lines], bool(best)
+    # What may hold the article does if it has more text than all that isn't aside.
+    text = [len(x.text) * (1 - x.linked) for x in lines]
+    up = sum(n for x, n in zip(lines, text, strict=True) if x.lifted) > sum(n for x, n in zip(lines, text, strict=True) if not x.side)
+    side = [x.side and not (up and x.lifted) for x in lines]
+    # Articles with less than half of the text in containers of text are teasers beside it.
+    held = [sum(len(x.text) for x, aside in zip(lines, side, strict=True) if not aside and x.marked >= mark) for mark in (1, 2)]
+    best = 2 if held[1] and 2 * held[1] >= held[0] else 1 if held[0] else 0
+    return [0 if aside or x.marked < best or not best and x.linked > 0.6 else len(x.text) for x, aside in zip(lines, side, strict=True)], bool(best)
 
 
 def spans(weight: list[int], surge: int) -> list[tuple[int, int]]:
-    """Ranges of lines between a surge (a window's sum above ``surge``) and the next dive (a window of nothing)."""
+    """Ranges of lines between a surge (a window's sum above ``surge``) and the next dive (a window of nothing); after the first one any weight is a surge."""
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
     out, i = [], 0
     while i < len(sums):
@@ -200,7 +213,7 @@ def spans(weight: list[int], surge: int) -> list[tuple[int, int]]:
         while begin > 0 and weight[begin - 1] > 0:  # text that leads up to the surge
             begin -= 1
         out.append((begin, end))
-        i = end + 1
+        i, surge = end + 1, 0
     return out
 
 

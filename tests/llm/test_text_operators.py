@@ -240,6 +240,24 @@ def test_html_layout_words_do_not_hide_the_article():
     assert html_text.main_text(f"<body>{body}{hidden}</body>") == WANT
 
 
+def test_html_article_in_a_form_or_layout_container():
+    body = "".join(f"<p>Paragraph {i} of the article, which has enough words to be read as text.</p>" for i in range(5))
+    want = "\n\n".join(f"Paragraph {i} of the article, which has enough words to be read as text." for i in range(5))
+    for opens, closes in (("<form>", "</form>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='menu-open'>", "</div>")):
+        for holder in ("<div id=content>", "<div class='post-content'>"):
+            assert html_text.main_text(f"<body>{opens}<p>Log in</p>{holder}{body}</div>{closes}</body>") == want
+    sidebar = "<div class=sidebar><div class=content><p>About the author, in a few words.</p></div></div>"
+    assert html_text.main_text(f"<body>{body}{sidebar}</body>") == want
+    teaser = "<article><p>Another story you may like</p></article>"
+    assert html_text.main_text(f"<body><main>{body}{teaser}</main></body>").startswith(want)
+
+
+def test_html_short_rest_after_an_interruption():
+    body = "<p>" + "A long first paragraph of the article. " * 5 + "</p>"
+    form = "<form>" + "<p>Subscribe to our letter</p>" * 4 + "</form>"
+    assert html_text.main_text(f"<body>{body}{form}<p>And a short last line.</p></body>").endswith("And a short last line.")
+
+
 def test_html_line_blocks():
     long = "x" * 90
     assert html_text.spans([0, 0, 90, 5, 0, 0, 0, 0, 100], 80) == [(0, 4), (6, 9)]
