@@ -13,8 +13,9 @@ Equal vectors are one class and travel once. Cells with many residents or
 visitors are cut into blocks of BLOCK, every pair of which meets once.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components have no links; null ids are allowed (component null); vectors of
-different lengths never link; repeated rows link with each other (cosine 1);
+components have no links; null ids are allowed (no links, component null); vectors of
+different lengths never link (a table with more than MOST_LENGTHS lengths is
+refused); repeated rows link with each other (cosine 1);
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -151,6 +152,10 @@ def _found_in(block: list[tuple], threshold: float) -> tuple[dict, list]:
     return counts, edges
 
 
+#: Lengths of vectors in a table at most: each has an index of its own.
+MOST_LENGTHS = 1000
+
+
 def codewords_for(rows: int) -> int:
     """Codewords of a half: a power of two, for about RESIDENTS vectors a cell of the grid."""
     words = 8
@@ -185,7 +190,9 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = 0.9, codewords: int
     classes = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy("unit", "size").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
     classes = written(classes, "vector-classes")
     found = None
-    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy("size").count().limit(1000).collect())
+    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy("size").count().limit(MOST_LENGTHS + 1).collect())
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} different lengths")
     total = sum(n for _, n in sizes)
     for size, n in sizes:
         own = classes.where(F.col("size") == size)

@@ -147,6 +147,12 @@ def test_blocks_lose_nothing(lengths):
 # ---- embeddings ----
 
 
+def test_embeddings_of_too_many_lengths_are_refused(spark):
+    vectors = spark.range(1, embedding_dedup.MOST_LENGTHS + 2).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(1.0), F.col("id").cast("int")).alias("embedding"))
+    with pytest.raises(ValueError, match="lengths"):
+        embedding_dedup.dedup_embeddings(vectors)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(120, 16))
