@@ -9,8 +9,8 @@ fragments: needed + SPARE of them or more hold no difference, so the two sets
 agree in that many whole fragments. At most SPARE of those are empty, unless
 both sets have more than SPARE empty fragments; only such sets announce their
 empty fragments, too. So two similar sets share ``needed`` announced fragments.
-Large sets' levels have 2 * DROP fragments more: then each set may disregard
-any DROP of its fragments (those of passages that many texts share), and
+Larger sets' levels have 2 * may_drop fragments more: then each set may disregard any
+``may_drop`` of its fragments (those of passages that many texts share), and
 similar sets still share as many.
 
 Levels at which sets can't differ at all announce nothing: similar sets of that
@@ -26,8 +26,8 @@ import numpy as np
 from ledgerloom.llm.textkernel import mix
 
 SPARE = 3
-NEEDED = 4
-DROP = 3
+#: Sets that may differ in fewer n-grams than this have one needed fragment and may drop none: they are too small for few empty fragments.
+SMALL = 8
 
 
 def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -51,23 +51,25 @@ def differences(level: int | np.ndarray, p: int, q: int) -> int | np.ndarray:
 
 
 def needed(d: int | np.ndarray) -> int | np.ndarray:
-    """How many announced fragments similar sets are sure to share; more than one where sets are large enough for few empty fragments."""
-    return np.where(np.asarray(d) < 8, 1, NEEDED)
+    """How many announced fragments similar sets are sure to share, after each has dropped may_drop(d): more, the larger they are."""
+    return np.where(np.asarray(d) < SMALL, 1, np.maximum(4, np.asarray(d) // 64))
 
 
-def may_drop(d: int | np.ndarray) -> bool | np.ndarray:
-    return np.asarray(d) >= 8
+def may_drop(d: int | np.ndarray) -> int | np.ndarray:
+    """How many fragments of a level each set may disregard."""
+    return np.where(np.asarray(d) < SMALL, 0, np.maximum(3, np.asarray(d) // 32))
 
 
-def droppable(n: int, p: int, q: int) -> int:
-    """Bit b: a set of n may disregard DROP fragments of its level whose number is b modulo 2."""
+def droppable(n: int, p: int, q: int) -> tuple[int, int]:
+    """How many fragments a set of n may disregard of its level whose number is even, and of the odd one."""
     own = int(level_of(np.array(n), p, q))
-    return sum(1 << (level & 1) for level in (own, own + 1) if may_drop(differences(level, p, q)))
+    even, odd = (int(may_drop(differences(level, p, q))) for level in (own + (own & 1), own + 1 - (own & 1)))
+    return even, odd
 
 
 def fragments_of_level(level: int, p: int, q: int) -> int:
     d = int(differences(level, p, q))
-    return d + int(needed(d)) + SPARE + 2 * DROP * int(may_drop(d)) if d else 0
+    return d + int(needed(d)) + SPARE + 2 * int(may_drop(d)) if d else 0
 
 
 def level_of(n: np.ndarray, p: int, q: int) -> np.ndarray:

@@ -2,21 +2,24 @@
 
 1. Documents become sets of hashed k-word shingles; equal sets are one class.
 2. The global n-gram order (that of the hashes) is cut into fragments; sets that
-   may be similar agree in a whole fragment (see fragments.py). A fragment's
-   hash found in two classes or more is a bucket.
+   may be similar agree in several whole fragments (see fragments.py). A
+   fragment's hash found in two classes or more is a bucket. Which hashes occur
+   twice is found first, from four bytes of each.
 3. Each bucket's members are compared with its two extreme members; what a
    parity sketch can't rule out is verified: partial overlaps are counted
    fragment by fragment, and summed per pair.
 4. Buckets whose members already are one component are done. A set leaves out
-   its few largest others, as fragments enough remain. In what is left
-   all pairs of different components are held against the sketch, in blocks
-   within a task; those that share as many fragments as similar sets must are
-   verified. So no link between different
-   components is lost, and groups of near copies aren't expanded into pairs.
+   its largest others (passages that many texts share), as many as its size
+   allows: fragments enough remain. In what is left all pairs of different
+   components are held against the sketch, in blocks within a task; those that
+   share as many fragments as similar sets must are verified. So no link between
+   different components is lost, and groups of near copies aren't expanded into
+   pairs.
 
 Texts never move. One pass hashes them and writes each class's sketch and
-fragment hashes (about 1.5 bytes an n-gram) to the shared folder; verification
-reads them again, for the documents that a bitmap of bounded size asks for.
+fragment hashes to the shared folder; verification reads them again, for the
+documents that a bitmap of bounded size asks for. Scratch tables go as soon as
+they are used up.
 Sets are identified by 64-bit hashes (chance of two different sets among n
 being taken for one: about n*n / 2**65).
 
@@ -38,17 +41,21 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import fragments
 from ledgerloom.llm import textkernel as K
 from ledgerloom.llm.bitmap import Bitmap, bitmap_of
-from ledgerloom.llm.common import ROWS_A_FILE, forget, kept, need, release, small_batches, written
+from ledgerloom.llm.common import ROWS_A_FILE, forget, need, release, small_batches, written
 from ledgerloom.llm.components import connected_components
 
 #: Fragments in which overlaps are counted.
-PARTS = 2
-#: Words of the shorter sketch that travels with each member of a bucket; the whole one is held against the pairs that it lets through.
+PARTS = 8
+#: Words at least of the shorter sketch that travels with each member of a bucket; the whole one is held against the pairs that it lets through.
 FEW = 32
 #: Members of a bucket that meet in one block.
 BLOCK = 1024
-#: Tasks among which buckets of one lowest member are dealt.
-SPREAD = 4
+#: Rows of buckets of one lowest member that go to one task, about.
+ROWS_A_TASK = 8192
+#: Classes that a task remembers to have announced.
+SEEN = 1 << 20
+#: Fragment hashes that meet in one task when those found twice are looked for, about.
+HASHES_A_PART = 1 << 20
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -74,6 +81,14 @@ def sketch_words(n: int) -> int:
     return words
 
 
+def short_words(n: int) -> int:
+    """64-bit words of the short sketch: FEW, or for large sets about a bit an n-gram."""
+    words = FEW
+    while 64 * words < n and words < 1024:
+        words *= 2
+    return words
+
+
 def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     """A sketch brought to fewer words: parities of positions that agree modulo the smaller size."""
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
@@ -90,7 +105,7 @@ def _slices(part, rows: int = 512) -> Iterator:
 
 
 def document_classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """doc_id, key (of the id), n_shingles, class and sketch of each row, and its class's fragment hashes (sigs) once a class and task."""
+    """doc_id, key (of the id), n_shingles and class of each row; its class's sketch and fragment hashes (sigs) once a class and task, else empty."""
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
@@ -100,25 +115,76 @@ def document_classes(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             n, cls, sketch, sigs, drops = [], [], [], [], []
             for s in K.shingle_sets(K.utf8_list(part.column(2)), k):
                 n.append(len(s))
-                drops.append(fragments.droppable(len(s), p, q) if len(s) else 0)
+                drops.append(fragments.droppable(len(s), p, q) if len(s) else (0, 0))
                 cls.append(c := class_of(s))
-                sketch.append(sketch_of(s, sketch_words(len(s))).tobytes() if len(s) else b"")
-                sigs.append(b"" if c in seen else fragments.signatures(s, p, q).tobytes())
+                new = len(s) and c not in seen
+                sketch.append(sketch_of(s, sketch_words(len(s))).tobytes() if new else b"")
+                sigs.append(fragments.signatures(s, p, q).tobytes() if new else b"")
+                if len(seen) == SEEN:
+                    seen.clear()
                 seen.add(c)
-            short = [folded(np.frombuffer(x, np.uint64), min(FEW, len(x) // 8)).tobytes() if x else b"" for x in sketch]
-            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketch, short, sigs)), pa.array(drops, pa.int32())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "n_shingles", "class", "sketch", "short", "sigs", "drops"])
+            columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(x, pa.binary()) for x in (sketch, sigs)), *(pa.array(x, pa.int32()) for x in zip(*drops, strict=True))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "key", "n_shingles", "class", "sketch", "sigs", "drop0", "drop1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, class long, sketch binary, short binary, sigs binary, drops int")
+    return _keyed(docs).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, class long, sketch binary, sigs binary, drop0 int, drop1 int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
 
 
-def _fragment_rows(rows: DataFrame, wanted: Bitmap | None = None) -> DataFrame:
-    """(sig, class): the fragments' hashes of each class; only those that ``wanted`` may have."""
+def _places(sig: np.ndarray, parts: int) -> np.ndarray:
+    """Where hashes are compared: the part (by the upper bits) in the upper half, four bytes of the hash in the lower one."""
+    x = sig.view(np.uint64)
+    return (((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)) << np.uint64(32) | (x & np.uint64(0xFFFFFFFF))
+
+
+def _repeated(rows: DataFrame, parts: int) -> DataFrame:
+    """The _places() of fragment hashes that occur more than once (and few others): four bytes a hash are shuffled, a row a task and part."""
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def packed() -> Iterator:
+            place = np.sort(_places(np.frombuffer(b"".join(held), np.int64), parts))
+            low, part = place.astype("<u4"), (place >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+            for at in range(0, len(cut), 256):
+                own = cut[at : at + 257]
+                ends = own[1:] if len(own) == 257 else np.append(own[1:], len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(part[own[: len(ends)]]), pa.array([low[i:j].tobytes() for i, j in zip(own, ends, strict=False)], pa.binary())], ["part", "low"])
+
+        held, size = [], 0
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            size += batch.column(0).nbytes
+            if size > 1 << 25:
+                yield from packed()
+                held.clear()
+                size = 0
+        yield from packed()
+
+    def repeated(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(low)
+        for part, lows in held.items():
+            low = np.sort(np.frombuffer(b"".join(lows), "<u4"))
+            lows.clear()
+            found = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.int64) | part << 32
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000])], ["place"])
+
+    packed = rows.where(F.octet_length("sigs") > 0).select("sigs").mapInArrow(pack, "part long, low binary")
+    return packed.repartition(parts, "part").mapInArrow(repeated, "place long")
+
+
+def _fragment_rows(rows: DataFrame, wanted: Bitmap, places: int) -> DataFrame:
+    """(sig, class): the fragments' hashes of each class whose place ``wanted`` may have."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(parts: Iterator) -> Iterator:
@@ -128,16 +194,14 @@ def _fragment_rows(rows: DataFrame, wanted: Bitmap | None = None) -> DataFrame:
             raw = part.column(0).to_pylist()
             sig = np.frombuffer(b"".join(raw), np.int64)
             cls = np.repeat(part.column(1).to_numpy(), [len(x) // 8 for x in raw])
-            if shared.value is not None:
-                keep = shared.value.has(sig)
-                sig, cls = sig[keep], cls[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(cls)], ["sig", "class"])
+            keep = shared.value.has(_places(sig, places))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(cls[keep])], ["sig", "class"])
 
     return rows.where(F.octet_length("sigs") > 0).select("sigs", "class").mapInArrow(run, "sig long, class long")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked: partial overlaps by fragment, summed per pair.
+    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked, written: partial overlaps by fragment, summed per pair.
 
     classes: class, key (of one of its documents). rows: about how many documents there are.
     """
@@ -159,6 +223,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k
                 c = class_of(s)
                 if not len(s) or c in seen or not sets.has(np.array([c]))[0]:
                     continue
+                if len(seen) == SEEN:
+                    seen.clear()
                 seen.add(c)
                 for i, own in enumerate(np.split(s, np.searchsorted(s, edges))):
                     if len(own):
@@ -167,13 +233,17 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(piece, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["class", "part", "grams"])
 
     pieces = _keyed(docs).mapInArrow(run, "class long, part int, grams array<long>")
-    pieces = written(pieces.dropDuplicates(["class", "part"]), "pieces", PARTS * rows)
+    pieces = written(pieces.dropDuplicates(["class", "part"]), "pieces", count)
+    forget(asked)
     release(docs.sparkSession)
     by_part = pairs.join(pieces.select(F.col("class").alias("a"), "part", F.col("grams").alias("grams_a")), "a")
     by_part = by_part.join(pieces.select(F.col("class").alias("b"), "part", F.col("grams").alias("grams_b")), ["b", "part"])
     partial = by_part.select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("shared"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return total.where(F.col("shared") * q >= (F.col("na") + F.col("nb") - F.col("shared")) * p).select("a", "b")
+    linked = written(total.where(F.col("shared") * q >= (F.col("na") + F.col("nb") - F.col("shared")) * p).select("a", "b"), "links", rows)
+    forget(pairs, pieces)
+    release(docs.sparkSession)
+    return linked
 
 
 def _near(pairs: DataFrame, p: int, q: int) -> DataFrame:
@@ -242,8 +312,9 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
     times: in how many of a task's buckets; needed: in how many in all similar sets are.
 
     members: sig, low, block, side (0 meets 1; 2 meets its like), class, component,
-    n, sketch. Near copies share many buckets, most with the same lowest member:
-    those go to one of SPREAD tasks, where a pair is named once.
+    n, sketch, salts. Near copies share many buckets, most with the same lowest
+    member: those go to one task, where a pair is named once, or to as many as
+    ``salts`` says.
     """
 
     def pairs_of(numbers: np.ndarray, sketch: list) -> np.ndarray:
@@ -299,22 +370,30 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
         yield from batch(held, sketches)
         yield from named()
 
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SPREAD)))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")))
     sorted_rows = salted.repartition("low", "salt", "block").sortWithinPartitions("low", "salt", "sig", "block")
     return sorted_rows.select("sig", "block", "side", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long, times long, needed long")
 
 
 def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(node, component) of the classes that have links; hashed: document_classes(docs), written (and deleted here)."""
-    n_docs = hashed.count()
-    classes = written(hashed.where("n_shingles > 0").groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"), F.max("drops").alias("drops"), F.min("key").alias("key")), "sets", n_docs)
-    buckets = _fragment_rows(hashed).groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    buckets = kept(buckets)
-    wanted = bitmap_of(buckets.select("sig"), buckets.count())
-    release(docs.sparkSession)
-    rows = written(_fragment_rows(hashed, wanted).join(buckets, "sig").distinct(), "members", 32 * n_docs)
-    forget(hashed, buckets)
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    n_docs, hashes = hashed.agg(F.count("*"), F.sum(F.octet_length("sigs") / 8)).first()
+    parts = max(16, int(hashes or 0) // HASHES_A_PART)
+    twice = written(_repeated(hashed, parts), "twice", int(hashes or 0) // 8)
+    wanted = bitmap_of(twice, twice.count())
+    forget(twice)
+    release(spark)
+    # One row a class: of those with a sketch, any (they are alike).
+    told = hashed.where(F.octet_length("sketch") > 0)
+    classes = told.groupBy("class").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("drop0").alias("drop0"), F.max("drop1").alias("drop1"), F.min("key").alias("key"))
+    classes = written(_with_short(classes), "sets", n_docs)
+    found = written(_fragment_rows(hashed, wanted, parts), "found", 32 * n_docs)
+    forget(hashed)
+    buckets = found.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rows = written(found.join(buckets, "sig").distinct(), "members", 32 * n_docs)
+    forget(found)
+    release(spark)
 
     def held(pairs: DataFrame, sketch: str, sizes: DataFrame) -> DataFrame:
         """The pairs (a, b) that the sketches in a column of ``sizes`` don't rule out."""
@@ -325,28 +404,30 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
     def near(pairs: DataFrame) -> DataFrame:
         """By the short sketches first; sets that are too large for those by their whole ones."""
         left = written(held(pairs, "short", classes), "near", n_docs)
-        release(docs.sparkSession)
+        scratch.append(left)
+        release(spark)
         few = F.least("na", "nb") <= 16 * FEW
         return left.where(few).unionByName(held(left.where(~few), "sketch", classes.where(F.col("n") > 16 * FEW)))
 
+    scratch: list[DataFrame] = []
     ends = F.array(F.struct(F.col("low").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("high").alias("b")))
     star = rows.select(F.explode(ends).alias("e")).select("e.*").where("a < b").distinct()
-    links = written(verified(docs, classes, near(star), n_docs, k, p, q), "links", n_docs)
+    links = verified(docs, classes, near(star), n_docs, k, p, q)
     first = connected_components(links, n_docs)
 
     # Buckets that hold different components: every pair of them that is left is looked at.
     placed = rows.join(first.withColumnRenamed("node", "class"), "class", "left").select("sig", "low", "class", F.coalesce("component", "class").alias("component"))
-    placed = kept(placed)
-    release(docs.sparkSession)
     open_ = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("sig", "m")
-    members = placed.join(open_, "sig").join(classes.select("class", "n", F.col("short").alias("sketch"), "drops"), "class")
-    # Each set disregards its DROP largest buckets of a level, where fragments enough remain.
+    members = placed.join(open_, "sig").join(classes.select("class", "n", F.col("short").alias("sketch"), "drop0", "drop1"), "class")
+    # Each set disregards its largest buckets of a level, as many as leave fragments enough.
     level = F.col("sig").bitwiseAND(1)
     hottest = Window.partitionBy("class", level).orderBy(F.desc("m"), "sig")
-    spared = F.when(level == 0, F.col("drops").bitwiseAND(1)).otherwise(F.col("drops").bitwiseAND(2)) > 0
-    members = members.withColumn("rank", F.row_number().over(hottest)).where(~spared | (F.col("rank") > fragments.DROP))
+    members = members.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > F.when(level == 0, F.col("drop0")).otherwise(F.col("drop1")))
+    members = written(members.select("sig", "low", "class", "component", "n", "sketch", "m"), "open", 8 * n_docs)
+    release(spark)
     # A bucket of more than BLOCK members is cut into blocks, and each pair of blocks meets once.
-    spread = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    salts = members.groupBy("low").agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("salts"))
+    spread = members.join(salts, "low").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     meet = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
@@ -354,13 +435,29 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
             F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"),
         ),
     )
-    laid = spread.select("sig", "low", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "low", "at.block", "at.side", "class", "component", "n", "sketch")
+    laid = spread.select("sig", "low", "salts", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "low", "salts", "at.block", "at.side", "class", "component", "n", "sketch")
     met = _blocks(laid, p, q).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
     more = written(met.where("times >= needed").select("a", "b").join(star, ["a", "b"], "left_anti"), "met", 4 * n_docs)
-    forget(placed)
-    release(docs.sparkSession)
+    forget(members, rows, first)
+    release(spark)
     found = verified(docs, classes, near(more), n_docs, k, p, q)
-    return connected_components(links.unionByName(found), n_docs)
+    out = connected_components(links.unionByName(found), n_docs)
+    forget(links, found, more, classes, *scratch)
+    return out
+
+
+def _with_short(classes: DataFrame) -> DataFrame:
+    """The classes with their short sketches."""
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in (x for whole in parts for x in _slices(whole)):
+            n, whole = part.column("n").to_pylist(), part.column("sketch").to_pylist()
+            short = [folded(np.frombuffer(x, np.uint64), min(short_words(m), len(x) // 8)).tobytes() for m, x in zip(n, whole, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(short, pa.binary())], [*part.schema.names, "short"])
+
+    return classes.mapInArrow(run, "class long, n long, sketch binary, drop0 int, drop1 int, key long, short binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:

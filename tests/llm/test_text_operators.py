@@ -59,7 +59,7 @@ def test_similar_sets_agree_in_a_fragment(p):
         if fragments.linked(np.array(shared), len(a), len(b), p, 100):
             common = np.intersect1d(fragments.signatures(a, p, 100), fragments.signatures(b, p, 100))
             here = fragments.meets_here(common, np.array(len(a)), np.array(len(b)), p, 100).sum()
-            assert len(a) == len(b) == shared or here >= fragments.sure_to_share(np.array(len(a)), np.array(len(b)), p, 100) + 2 * fragments.DROP * int(fragments.may_drop(fragments.differences(fragments.level_of(np.array(max(len(a), len(b))), p, 100), p, 100)))
+            assert len(a) == len(b) == shared or here >= fragments.sure_to_share(np.array(len(a)), np.array(len(b)), p, 100) + 2 * fragments.may_drop(fragments.differences(fragments.level_of(np.array(max(len(a), len(b))), p, 100), p, 100))
             x, y = (ngram_join.sketch_of(s, ngram_join.sketch_words(len(s))) for s in (a, b))
             assert ngram_join._apart(x, y) <= ngram_join.most_apart(len(a), len(b), p, 100)
 
