@@ -30,15 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.byte_bpe import PRETOKENS, ByteBpe, sure
 from ledgerloom.llm.common import need, small_batches, written
 from ledgerloom.llm.textkernel import utf8_list
 
 BLOCK = 1 << 21
 #: Terms that order the items.
 KEYS = 3
-
-#: The byte-level pre-tokenizer's pattern (a fixed value).
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Terms that at least one in so many items of a shard has are held as a row.
+DENSE = 16
 
 
 def byte_symbols() -> dict[str, int]:
@@ -51,9 +51,9 @@ def byte_symbols() -> dict[str, int]:
 class Encoder:
     """The ids that ``tokenizers`` gives for a tokenizer file, without special tokens.
 
-    A plain byte-level BPE file is loaded into tiktoken too, which yields the
-    same ids several times faster; texts with a special token's string, and
-    files of other kinds, go through ``tokenizers`` itself.
+    Texts go through ByteBpe, which yields the same ids several times faster;
+    texts with a special token's string or a character of unknown class, and
+    files that aren't plain byte-level BPE, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -82,12 +82,12 @@ class Encoder:
         if sorted(set(order)) != order or len(order) + 256 != len(vocab) or min(order, default=256) < 256:
             return None  # merges aren't ranked by id
         ranks = {bytes(symbols[c] for c in k): v for k, v in vocab.items()}
-        return tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+        return ByteBpe(tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(a in text for a in self.added):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        plain = [self.fast is not None and not any(a in t for a in self.added) and sure(t) for t in texts]
+        made = iter(self.fast.encode([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        return [next(made) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -131,17 +131,31 @@ class Index:
         frequency = np.bincount(term)
         statistics = statistics or Statistics(self.n, length.mean(), frequency)
         weight = statistics.weights(term, count, length[doc])
+        # Postings of terms that many items have are rows of a matrix (at most DENSE numbers a posting), the others' are lists.
+        often = frequency * DENSE >= self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.n), np.float32)
+        many = often[term]
+        self.rows[self.row[term[many]], doc[many]] = weight[many]
+        term, doc, weight = term[~many], doc[~many], weight[~many]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float64)
-        self.first = np.concatenate(([0], np.cumsum(frequency)))
+        self.first = np.concatenate(([0], np.cumsum(np.where(often, 0, frequency))))
+
+    def scores(self, item: int) -> np.ndarray:
+        """BM25 scores of all items for one item's terms."""
+        terms = self.query[item]
+        row = self.row[terms]
+        asked = np.zeros(len(self.rows), np.float32)
+        asked[row[row >= 0]] = 1
+        score = (asked @ self.rows).astype(np.float64)
+        if spans := [slice(self.first[t], self.first[t + 1]) for t in terms[row < 0]]:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return score
 
     def neighbours(self, item: int, unused: np.ndarray, most: int) -> np.ndarray:
         """Unused items that share a term, best first (equal scores: lower number first)."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[item]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        score[~unused] = 0
+        score = np.where(unused, self.scores(item), 0)
         best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
         best = best[score[best] > 0]
         return best[np.lexsort((best, -score[best]))]
@@ -219,8 +233,8 @@ def _encoded(docs: DataFrame, tokenizer: str, window: int, end_id: int, whole: b
         for part in parts:
             id_type = part.schema.types[0]
             tokens, windows, ids = [], [], []
-            for text in utf8_list(part.column(1)):
-                made = np.append(own.encode((text or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
+            for found in own.encode([(text or b"").decode("utf-8", "replace") for text in utf8_list(part.column(1))]):
+                made = np.append(found, np.uint32(end_id)).astype("<u4")
                 frequency[counted(made)[0]] += 1
                 rest = len(made) - len(made) % window
                 tokens.append(len(made))

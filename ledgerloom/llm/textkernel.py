@@ -53,15 +53,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spans_hashed(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """Hashes of spans of a byte buffer: equal spans hash alike wherever they stand."""
+    power, inverse = _powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(table[b] * power[: len(b)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def _one_segment(b: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = _WORD[b]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(table[b] * power[: len(b)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts])
+    return starts, ends, spans_hashed(b, starts, ends, table)
 
 
 def words_of(buf: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
