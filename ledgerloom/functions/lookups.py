@@ -25,10 +25,12 @@ SKILLS = {
 # The first three letters of English months to their numbers.
 MONTHS = {m: f"{i:02d}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
+# Words for a role that goes on.
 PRESENT_WORDS = ["present", "current", "now", "ongoing"]
 
 # How far a source type is trusted, and for which fields otherwise.
 DEFAULT_TRUST = {"recruiter_csv": 0.90, "ats_json": 0.85, "linkedin": 0.75, "github_api": 0.60, "resume": 0.55, "recruiter_notes": 0.40}
+# Fixed value: trust of source types that have none.
 UNKNOWN_TRUST = 0.5
 FIELD_TRUST = {
     ("github_api", "skills"): 0.95, ("github_api", "links.github"): 0.99, ("github_api", "phones"): 0.0,
@@ -36,8 +38,10 @@ FIELD_TRUST = {
     ("resume", "experience"): 0.80, ("resume", "education"): 0.85, ("resume", "skills"): 0.70,
     ("recruiter_notes", "phones"): 0.55, ("recruiter_notes", "skills"): 0.45,
 }
+# Fixed value: the date of sources without one.
 EPOCH = "1970-01-01"
 
+# The fields of a record with one value, and with a list of texts, in order.
 SCALAR_FIELDS = ["full_name", "headline", "years_experience", "location.city", "location.region", "location.country", "links.linkedin", "links.github", "links.portfolio"]
 MULTI_FIELDS = ["emails", "phones", "links.other"]
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import lookups as L
-from ledgerloom.functions.text import blank, jtrim, strip
+from ledgerloom.functions.text import BLANKS, blank, jtrim, lookup, strip
 
 NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
@@ -15,11 +17,48 @@ NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
 def parse_json(text: Column) -> Column:
-    """The one JSON value that the text is; null if it is none, or something follows it."""
+    """The one JSON value that the text is, strictly or else leniently; null if it is none, or something follows it."""
+    return F.coalesce(_parse_strict(text), F.when(~blank(text), _parse_strict(strict_json(text))))
+
+
+def _parse_strict(text: Column) -> Column:
     whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
     return F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
 
 
+#: Tokens of lenient JSON: space and comments, quoted texts, marks, bare words.
+_TOKENS = r"""\s++|//[^\n]*+|#[^\n]*+|/\*(?s:.*?)\*/|"(?:[^"\\]++|\\(?s:.))*+"|'(?:[^'\\]++|\\(?s:.))*+'|=>|[{}\[\],:;=]|[^\s{}\[\],:;=/\\#"'][^\s{}\[\],:;=/\\#]*+"""
+_PLAIN_WORD = r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
+def strict_json(text: Column) -> Column:
+    """Lenient JSON as strict JSON: single quotes, bare names and words, ``;`` for a comma, ``=`` or ``=>`` for a colon, comments.
+
+    Null for a text that isn't made of such tokens; whether they are in a
+    sensible order is for the parser to see.
+    """
+    every = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    tokens = F.filter(every, lambda t: ~t.rlike(r"\A(?:\s|//|#|/\*)"))
+    quote = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, F.lit("\n"), F.lit(r"\\n")), F.lit("\r"), F.lit(r"\\r")), F.lit("\t"), F.lit(r"\\t")), F.lit('"'))
+    inner = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
+    unescaped = lambda x: F.regexp_replace(F.regexp_replace(x, F.lit(r"\\'"), F.lit("'")), F.lit(r'(?<!\\)((?:\\\\)*)"'), F.lit(r'$1\\"'))
+
+    def strict(token: Column, following: Column) -> Column:
+        name = F.coalesce(following.isin(":", "=", "=>"), F.lit(False))
+        return (
+            F.when(token.startswith('"'), quote(inner(token)))
+            .when(token.startswith("'"), quote(unescaped(inner(token))))
+            .when(token == ";", ",")
+            .when(token.isin("=", "=>"), ":")
+            .when(token.rlike(r"\A[{}\[\],:]\z"), token)
+            .when(~name & F.lower(token).rlike(rf"\A(?:{_PLAIN_WORD})\z"), F.lower(token))
+            .otherwise(F.concat(F.lit('"'), F.replace(token, F.lit('"'), F.lit('\\"')), F.lit('"')))
+        )
+
+    made = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), strict)
+    return F.when(F.array_join(every, "") == text, F.array_join(made, ""))
+
+
 def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
@@ -81,20 +120,37 @@ def link_field(url: Column) -> Column:
     return F.when(low.contains("linkedin.com"), "links.linkedin").when(low.contains("github.com"), "links.github").otherwise("links.other")
 
 
-def section_lines(text: Column, section: str) -> Column:
-    """Lines of the last section so headed (headers may end with a colon), up to the next header."""
-    lines = F.split(text, "\n")
-    marked = F.transform(lines, lambda line, i: F.struct(i.alias("at"), _section_of(line).alias("kind")))
-    heads = F.filter(marked, lambda m: m["kind"].isNotNull())
-    start = F.array_max(F.transform(F.filter(heads, lambda m: m["kind"] == section), lambda m: m["at"]))
-    end = F.coalesce(F.array_min(F.transform(F.filter(heads, lambda m: m["at"] > start), lambda m: m["at"])), F.size(lines))
-    return F.when(start.isNotNull(), F.slice(lines, start + 2, end - start - 1)).otherwise(F.array().cast("array<string>"))
+def sections(text: Column) -> Column:
+    """The headed sections of a text in order: array of (kind, body). A header is a line of its own, which may end with a colon.
 
+    One pass of one pattern over the whole text; a body is what lies between
+    two headers, its first line break included.
+    """
+    header = _header_line()
+    names = F.regexp_extract_all(text, F.lit(header), F.lit(1))
+    bodies = F.split(text, header)
+    return F.zip_with(names, F.slice(bodies, 2, F.size(names)), lambda name, body: F.struct(lookup(L.SECTIONS, F.lower(name)).alias("kind"), body.alias("body")))
 
-def _section_of(line: Column) -> Column:
-    from ledgerloom.functions.text import lookup
 
-    return lookup(L.SECTIONS, F.regexp_replace(F.lower(strip(line)), F.lit(r":$"), F.lit("")))
+def _header_line() -> str:
+    """A pattern of header lines (lines end at LF only); its group is the header."""
+    words = "|".join(re.escape(h).replace("k", "[k\u212a]") for h in sorted(L.SECTIONS, key=len, reverse=True))  # U+212A in lower case is k
+    return rf"(?dm)^{BLANKS}*((?i:{words})):?{BLANKS}*$"
+
+
+def lines_under(found: Column, section: str) -> Column:
+    """Lines of the last of the sections of one kind."""
+    own = F.filter(F.transform(found, lambda x, i: F.struct(x["kind"].alias("kind"), x["body"].alias("body"), (i == F.size(found) - 1).alias("last"))), lambda x: x["kind"] == section)
+    held = F.try_element_at(own, F.lit(-1))
+    # The line break after the header goes, and so does the one before the next header.
+    body = F.when(held["last"], F.substr(held["body"], F.lit(2))).otherwise(F.substr(held["body"], F.lit(2), F.length(held["body"]) - 2))
+    empty = F.when(held["last"], F.length(held["body"]) == 0).otherwise(F.length(held["body"]) < 2)
+    return F.when(held.isNotNull() & ~empty, F.split(body, "\n")).otherwise(F.array().cast("array<string>"))
+
+
+def section_lines(text: Column, section: str) -> Column:
+    """Lines of the last section so headed, up to the next header."""
+    return lines_under(sections(text), section)
 
 
 def skill_tokens(lines: Column) -> Column:
@@ -116,24 +172,11 @@ def phrase_skills(text: Column) -> Column:
 
 def csv_fields(line: Column) -> Column:
     """Fields of one CSV line: quotes toggle anywhere, a doubled quote within quotes is one."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(False).alias("quoted"), F.lit(False).alias("closing"))
-
-    def step(s: Column, c: Column) -> Column:
-        # closing: the last character was a quote within quotes, which ends them unless another follows
-        quote, comma = c == '"', c == ","
-        inside = s["quoted"] & ~s["closing"]
-        ends = comma & ~inside
-        cur = F.when(ends, "").when(inside & quote, s["cur"]).when(inside, F.concat(s["cur"], c)).when(quote & s["closing"], F.concat(s["cur"], F.lit('"'))).when(quote, s["cur"]).otherwise(F.concat(s["cur"], c))
-        quoted = F.when(inside, F.lit(True)).otherwise(quote)
-        return F.struct(
-            F.when(ends, F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done"),
-            cur.alias("cur"),
-            quoted.alias("quoted"),
-            (inside & quote).alias("closing"),
-        )
-
-    chars = F.filter(F.split(line, ""), lambda c: c != "")
-    return F.aggregate(chars, start, step, lambda s: F.array_append(s["done"], s["cur"]))
+    quoted = r'"((?:[^"]++|"")*+)(?:"|\z)'
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf',((?:[^",]++|{quoted.replace("((", "(?:(", 1)})*+)'), F.lit(1))
+    # What is left of quotes once the toggling ones are gone are the doubled ones.
+    plain = lambda x: F.replace(F.regexp_replace(x, F.lit(quoted), F.lit("$1")), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.when(F.contains(x, F.lit('"')), plain(x)).otherwise(x))
 
 
 def csv_value(header: Column, row: Column, column: str) -> Column:

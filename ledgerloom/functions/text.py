@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 _WHITE = r"[\t-\r\x1c-\x20  -  -    　]"
 
 
+#: The same within a line.
+BLANKS = _WHITE.replace(r"\t-\r", r"\t\x0b-\r")
+
+
 def jtrim(x: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
     return F.regexp_replace(x, F.lit(r"\A[\x00-\x20]+|[\x00-\x20]+\z"), F.lit(""))

@@ -1,9 +1,15 @@
-"""The canonical record: one row a candidate, in a fixed nested schema, and its checks."""
+"""The canonical record: one row a candidate, in a fixed nested schema, and its checks.
+
+Defined results: candidates without a claim have empty lists and confidence 0;
+a null candidate_id isn't joined to anything and fails validation; repeated
+claims count once a source; an empty ledger gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import lookups as L
 from ledgerloom.operators import merge as M
@@ -85,23 +91,46 @@ def without_provenance(canonical: DataFrame) -> DataFrame:
     return canonical.drop("provenance")
 
 
-def validation_errors(columns: list[str]) -> Column:
-    """What is wrong with a canonical record, as an array of messages (types that the schema fixes can't be wrong)."""
+def validation_errors(schema: T.StructType) -> Column:
+    """What is wrong with a canonical record, as an array of messages. Types are checked against the schema, so those checks cost a null test a row."""
     bad = lambda wrong, message: F.when(F.coalesce(wrong, F.lit(True)), message)
-    strings = lambda c: ~F.forall(F.col(c), lambda x: x.isNotNull())
-    checks = [bad(F.col("candidate_id").isNull(), "candidate_id must be a string")]
-    checks += [bad(strings(c), f"{c} must be string[]") for c in ("emails", "phones")]
-    checks += [bad(F.col(c).isNull(), f"{c} must be an object") for c in ("location", "links")]
-    checks.append(F.when(F.col("links").isNotNull() & F.col("links.other").isNull(), "links.other must be string[]"))
-    checks.append(F.when(F.exists(F.col("skills"), lambda s: s.isNull()), "each skill must be an object with a name"))
+
+    def typed(at: Column, kind: T.DataType | None, allowed: tuple, message: str) -> Column:
+        """A value of another type is wrong; null isn't."""
+        return F.when(at.isNotNull(), message) if kind is not None and not isinstance(kind, allowed) else F.lit(None).cast("string")
+
+    kind = {f.name: f.dataType for f in schema.fields}
+    text = (T.StringType, T.NullType)
+    checks = [bad(F.col("candidate_id").isNull() if isinstance(kind["candidate_id"], text) else F.lit(True), "candidate_id must be a string")]
+    checks += [typed(F.col(c), kind[c], text, f"{c} must be string|null") for c in ("full_name", "headline") if c in kind]
+    for c in ("emails", "phones"):
+        fits = isinstance(kind[c], T.ArrayType) and isinstance(kind[c].elementType, text)
+        checks.append(bad(~F.forall(F.col(c), lambda x: x.isNotNull()) if fits else F.lit(True), f"{c} must be string[]"))
+    if "years_experience" in kind:
+        checks.append(typed(F.col("years_experience"), kind["years_experience"], (T.NumericType, T.NullType), "years_experience must be number|null"))
+    for c, names in (("location", ("city", "region", "country")), ("links", ("linkedin", "github", "portfolio"))):
+        if not isinstance(kind[c], T.StructType):
+            checks.append(F.lit(f"{c} must be an object"))
+            continue
+        checks.append(bad(F.col(c).isNull(), f"{c} must be an object"))
+        checks += [typed(F.col(f"{c}.{n}"), kind[c][n].dataType, text, f"{c}.{n} must be string|null") for n in names if n in kind[c].names]
+        if c == "links" and "other" in kind[c].names:
+            is_list = isinstance(kind[c]["other"].dataType, T.ArrayType)
+            checks.append(F.when(F.col("links").isNotNull() & (F.col("links.other").isNull() if is_list else F.lit(True)), "links.other must be string[]"))
+    named = isinstance(kind["skills"], T.ArrayType) and isinstance(kind["skills"].elementType, T.StructType) and "name" in kind["skills"].elementType.names
+    checks.append(F.when(F.exists(F.col("skills"), lambda s: s.isNull() if named else F.lit(True)), "each skill must be an object with a name"))
     for c in ("experience", "education"):
-        checks.append(F.when(F.col(c).isNull(), f"{c} must be an array"))
-        checks.append(F.when(F.exists(F.col(c), lambda r: r.isNull()), f"each {c} entry must be an object"))
-    if "overall_confidence" in columns:
-        checks.append(F.when(~F.col("overall_confidence").between(0.0, 1.0), "overall_confidence must be a number in [0,1]"))
+        is_list = isinstance(kind[c], T.ArrayType)
+        checks.append(F.when(F.col(c).isNull() if is_list else F.lit(True), f"{c} must be an array"))
+        if is_list:
+            wrong = (lambda r: r.isNull()) if isinstance(kind[c].elementType, T.StructType) else (lambda r: F.lit(True))
+            checks.append(F.when(F.exists(F.col(c), wrong), f"each {c} entry must be an object"))
+    if "overall_confidence" in kind:
+        within = F.col("overall_confidence").between(0.0, 1.0) if isinstance(kind["overall_confidence"], T.NumericType) else F.lit(False)
+        checks.append(F.when(F.col("overall_confidence").isNotNull() & ~within, "overall_confidence must be a number in [0,1]"))
     return F.array_compact(F.array(*checks))
 
 
 def validate(canonical: DataFrame) -> DataFrame:
     """canonical with validation_errors."""
-    return canonical.withColumn("validation_errors", validation_errors(canonical.columns))
+    return canonical.withColumn("validation_errors", validation_errors(canonical.schema))

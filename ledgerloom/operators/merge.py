@@ -4,6 +4,11 @@ All groupings begin with candidate_id, so a ledger dealt by candidate_id needs
 no further exchange. Each reduces in two levels: first by value (partially
 aggregated before any exchange, so repeated claims of one candidate shrink
 early), then over the different values.
+
+Defined results: claims without a value never win, agree or conflict; repeated
+claims of one source count once; ties are broken by trust, date, source order,
+value (by UTF-8 bytes) and place, so results don't depend on the rows' order;
+an empty ledger gives empty results; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -272,7 +272,7 @@ def _resume() -> Adapter:
     stages = _merged(
         [_found_stages("resume")],
         [{"resume_first": F.get(lines, F.lit(0))}],
-        [{f"resume_{k}_lines": P.section_lines(content, k) for k in ("skills", "experience", "education")}],
+        [{"resume_sections": P.sections(content)}, {f"resume_{k}_lines": P.lines_under(F.col("resume_sections"), k) for k in ("skills", "experience", "education")}],
     )
     stages.append({
         "resume_skills": P.skill_tokens(v("skills_lines")),

@@ -50,7 +50,7 @@ def read_documents(spark: SparkSession, sources: DataFrame, paths: str | list[st
 
 def latest_of(sources: DataFrame) -> DataFrame:
     """sources with ``src_order``: how many usable entries (column ok) of the candidate come before."""
-    before = Window.partitionBy("candidate_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # Entries of equal pos (never so in a manifest) are ordered by what else they have, so the order is fixed.
+    ties = [c for c in ("type", "path", "timestamp", "trust") if c in sources.columns]
+    before = Window.partitionBy("candidate_id").orderBy("pos", *ties).rowsBetween(Window.unboundedPreceding, -1)
     return sources.withColumn("src_order", F.coalesce(F.sum(F.col("ok").cast("int")).over(before), F.lit(0)).cast("int"))
-
-
