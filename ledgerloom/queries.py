@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +23,7 @@ from ledgerloom.operators.ledger import build_ledger, default_trust, extract, fi
 from ledgerloom.plans.json_text import json_text
 from ledgerloom.plans.projection import project, project_json
 from ledgerloom.sources.adapters import draft, education, experience
-from ledgerloom.sources.manifests import latest_of
+from ledgerloom.sources.manifests import latest_of, read_documents, read_manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,8 +218,8 @@ def q_section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     nl = F.lit("\n")
     whole = F.concat(F.lit("pre\nSKILLS\n"), "text", nl, F.lit("Education:"), nl, "role", nl, F.lit(" technical skills "), nl, F.col("conv_id").cast("string"), nl, "text")
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", whole.alias("text"))
-    one = lambda s: F.struct(F.lit(s).alias("section"), F.array_join(P.section_lines(F.col("text"), s), "\n").alias("body"))
-    return rows.select("conv_id", "turn", F.explode(F.array(*(one(s) for s in ("skills", "experience", "education")))).alias("s")).select("conv_id", "turn", "s.section", "s.body").where("body <> ''")
+    one = lambda s: F.struct(F.lit(s).alias("section"), F.array_join(P.lines_under(F.col("sections"), s), "\n").alias("body"))
+    return rows.withColumn("sections", P.sections(F.col("text"))).select("conv_id", "turn", F.explode(F.array(*(one(s) for s in ("skills", "experience", "education")))).alias("s")).select("conv_id", "turn", "s.section", "s.body").where("body <> ''")
 
 
 @query("""SELECT c_custkey, 1 + generate_subscripts(f, 1) - 1 AS pos, unnest(f) AS field FROM (
@@ -275,31 +281,27 @@ def q_json_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the ledger ----
 
 _TRUST = {"purchase": 0.90, "signup": 0.85, "click": 0.75, "view": 0.60, "error": 0.40}
-_ORDER = {s: i for i, s in enumerate(sorted(_TRUST))}
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest event of each user and type, as if it were a source's document."""
-    latest = F.max_by(F.struct("props", "ts"), F.struct("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(latest.alias("e"))
-    trust, order = (F.coalesce(*(F.when(F.col("event_type") == s, F.lit(v)) for s, v in m.items())) for m in (_TRUST, _ORDER))
-    return rows.select(
+    """Every event as if it were a source's document: many sources of one type a candidate."""
+    trust = F.coalesce(*(F.when(F.col("event_type") == s, F.lit(v)) for s, v in _TRUST.items()))
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("candidate_id"),
         F.col("event_type").alias("source_id"),
         trust.alias("trust"),
-        F.get_json_object("e.props", "$.k").cast("long").alias("k"),
-        F.date_format("e.ts", "yyyy-MM-dd").alias("observed_at"),
-        order.alias("src_order"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.date_format("ts", "yyyy-MM-dd").alias("observed_at"),
+        F.col("event_id").alias("src_order"),
     )
 
 
 _EVENTS_SQL = f"""le AS (SELECT user_id::VARCHAR AS candidate_id, event_type AS source_id, CASE event_type {" ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in _TRUST.items())} END AS trust,
-    (props->>'$.k')::BIGINT AS k, strftime(ts, '%Y-%m-%d') AS observed_at, CASE event_type {" ".join(f"WHEN '{s}' THEN {v}" for s, v in _ORDER.items())} END AS src_order
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
+    (props->>'$.k')::BIGINT AS k, strftime(ts, '%Y-%m-%d') AS observed_at, event_id AS src_order FROM events)"""
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of many fields, derived from each event's k."""
+    """Claims of many fields, derived from each event's k; dealt by candidate once, so that no reduction exchanges them again."""
     k = F.col("k")
     t = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
     role = experience(t("Co", 2), t("Role", 2), F.when(k % 3 == 0, F.concat(F.lit("20"), F.lpad((k % 20).cast("string"), 2, "0"))), F.lit("present"), F.when(k % 4 == 0, t("sum", 5)))
@@ -315,7 +317,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         draft("education", t("x", 9), "m:study", education=study),
     )
     rows = _events(spark, sf_dir).select("candidate_id", "source_id", "trust", "observed_at", "src_order", F.posexplode(drafts).alias("claim_seq", "d"))
-    return rows.select("candidate_id", "d.*", "source_id", "trust", "observed_at", "src_order", "claim_seq")
+    return rows.select("candidate_id", "d.*", "source_id", "trust", "observed_at", "src_order", "claim_seq").repartition("candidate_id")
 
 
 @query("""SELECT 'c' || c_custkey AS id, unnest(['full_name', 'location.country', 'years_experience']) AS field_path, unnest([c_name, n_name, NULL]) AS value_str, unnest([NULL, NULL, c_acctbal]) AS value_num FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -574,7 +576,7 @@ def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("candidate_id", (F.col("at") + 1).cast("long").alias("at"), "p.*")
 
 
-@query(f"WITH {_EVENTS_SQL} SELECT candidate_id, source_id, 8::BIGINT AS claims, (8 * count(*) OVER (PARTITION BY candidate_id))::BIGINT AS ledger_size FROM le")
+@query(f"WITH {_EVENTS_SQL}, n AS (SELECT candidate_id, source_id, 8 * count(*) AS claims FROM le GROUP BY ALL) SELECT candidate_id, source_id, claims::BIGINT AS claims, (sum(claims) OVER (PARTITION BY candidate_id))::BIGINT AS ledger_size FROM n")
 def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_source = _ledger(spark, sf_dir).groupBy("candidate_id", "source_id").agg(F.count("*").alias("claims"))
     sizes = per_source.groupBy("candidate_id").agg(F.sum("claims").alias("ledger_size"))
@@ -702,6 +704,285 @@ def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.validate(rows).select("candidate_id", F.array_join("validation_errors", "; ").alias("errors"))
 
 
+# ---- types, dates, flags, lenient JSON ----
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer)
+  SELECT k::VARCHAR AS candidate_id, concat_ws('; ', CASE WHEN k % 2 = 0 THEN 'candidate_id must be a string' END, CASE WHEN k % 3 = 0 THEN 'phones must be string[]' END, CASE WHEN k % 5 = 0 THEN 'links must be an object' END,
+    CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN 'links.other must be string[]' END, CASE WHEN k % 4 = 0 THEN 'experience must be an array' END, CASE WHEN k % 4 = 1 THEN 'each experience entry must be an object' END,
+    CASE WHEN k % 6 = 0 THEN 'education must be an array' END, CASE WHEN k % 6 = 1 THEN 'each education entry must be an object' END) AS errors FROM c""")
+def q_validate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    entry = F.struct(F.lit("x").alias("a"))
+    listed = lambda n: F.when(k % n == 0, None).when(k % n == 1, F.array(entry, F.lit(None))).otherwise(F.array(entry))
+    none = F.array().cast("array<string>")
+    rows = table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("key"),
+        F.when(k % 2 != 0, k.cast("string")).alias("candidate_id"),
+        F.lit(None).cast("string").alias("full_name"),
+        none.alias("emails"),
+        F.when(k % 3 != 0, none).alias("phones"),
+        F.struct(F.lit("x").alias("city")).alias("location"),
+        F.when(k % 5 != 0, F.struct(F.lit("x").alias("github"), F.when(k % 7 != 0, none).alias("other"))).alias("links"),
+        F.array().cast("array<struct<name:string>>").alias("skills"),
+        listed(4).alias("experience"),
+        listed(6).alias("education"),
+        F.lit(None).cast("double").alias("overall_confidence"),
+    )
+    return C.validate(rows).select(F.col("key").alias("candidate_id"), F.array_join("validation_errors", "; ").alias("errors"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS candidate_id, concat_ws('; ', 'candidate_id must be a string', 'full_name must be string|null', CASE WHEN c_custkey % 2 = 0 THEN 'headline must be string|null' END, 'emails must be string[]',
+  'phones must be string[]', 'years_experience must be number|null', 'location.city must be string|null', CASE WHEN c_custkey % 3 = 0 THEN 'links.portfolio must be string|null' END, 'links.other must be string[]',
+  'each skill must be an object with a name', 'experience must be an array', 'each education entry must be an object', 'overall_confidence must be a number in [0,1]') AS errors FROM customer""")
+def q_validate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("candidate_id"),
+        F.lit(True).alias("full_name"),
+        F.when(k % 2 == 0, k).alias("headline"),
+        F.array(k).alias("emails"),
+        F.lit("x").alias("phones"),
+        F.lit("9").alias("years_experience"),
+        F.struct(k.alias("city"), F.lit("x").alias("region")).alias("location"),
+        F.struct(F.lit("x").alias("linkedin"), F.when(k % 3 == 0, k).alias("portfolio"), F.lit("x").alias("other")).alias("links"),
+        F.array(F.lit("python")).alias("skills"),
+        F.lit("x").alias("experience"),
+        F.array(k).alias("education"),
+        F.lit("0.5").alias("overall_confidence"),
+    )
+    return C.validate(rows).select(F.col("candidate_id").cast("string").alias("candidate_id"), F.array_join("validation_errors", "; ").alias("errors"))
+
+
+_PREFIX_SQL = "left(strftime(ts, '%Y-%m-%d'), ([4, 7, 10, 0])[1 + event_id % 4])"
+
+
+@query(
+    f"""WITH c AS (SELECT user_id::VARCHAR AS candidate_id, event_id, event_type, 'v' || event_id AS value, {_PREFIX_SQL} AS observed_at FROM events)
+  SELECT candidate_id, value, observed_at FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY translate(observed_at, '9876543210-', 'abcdefghijk'), event_id) AS rn FROM c) WHERE rn = 1"""
+)
+def q_recency_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of every precision: later ones first, and a shorter date before those that it begins."""
+    e = F.col("event_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    seen = F.when(e % 4 == 0, F.substring(day, 1, 4)).when(e % 4 == 1, F.substring(day, 1, 7)).when(e % 4 == 2, day).otherwise("")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("candidate_id"), F.lit("headline").alias("field_path"), F.concat(F.lit("v"), e.cast("string")).alias("value_str"), F.lit(None).cast("double").alias("value_num"),
+        F.col("event_type").alias("source_id"), F.lit("m").alias("method"), F.lit(0.5).alias("trust"), seen.alias("observed_at"), e.alias("src_order"), F.lit(0).alias("claim_seq"),
+    )
+    won = M.resolve_scalars(rows).select("candidate_id", F.col("value_str").alias("value"))
+    dates = rows.select(F.col("value_str").alias("value"), "observed_at")
+    return won.join(dates, "value").select("candidate_id", "value", "observed_at")
+
+
+@query("""SELECT c_custkey::VARCHAR AS candidate_id, CASE WHEN c_custkey % 3 = 0 THEN '1970-01-01' WHEN c_custkey % 3 = 1 THEN '2026-0' || (1 + c_custkey % 9) ELSE '' END AS observed_at,
+  CASE WHEN c_custkey % 4 = 0 THEN c_acctbal ELSE 0.4 END::DOUBLE AS trust, c_custkey::INTEGER % 2 AS src_order FROM customer""")
+def q_observed_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and trust that a source's entry gives, or their defaults; a source that can't be used before it doesn't count."""
+    k = F.col("c_custkey")
+    stamp = F.when(k % 3 == 1, F.concat(F.lit("2026-0"), (1 + k % 9).cast("string"))).when(k % 3 == 2, "")
+    customers = table(spark, sf_dir, "customer")
+    entry = lambda pos, kind, given, trust, content: customers.select(k.cast("string").alias("candidate_id"), F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit("p").alias("path"), given.cast("string").alias("timestamp"), trust.cast("double").alias("trust"), content.alias("content"))
+    first = entry(0, "recruiter_notes", F.lit("2020"), F.lit(None), F.when(k % 2 == 1, "nothing"))
+    second = entry(1, "recruiter_notes", stamp, F.when(k % 4 == 0, F.col("c_acctbal")), F.lit("mail me: a@b.org"))
+    return build_ledger(extract(first.unionByName(second))).select("candidate_id", "observed_at", "trust", "src_order")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN 7.0 END::DOUBLE AS trust FROM events""")
+def q_number_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only JSON numbers are numbers: texts, booleans, lists and null aren't."""
+    e, quoted = F.col("event_id"), F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"'))
+    value = F.when(e % 6 == 0, F.col("value").cast("string")).when(e % 6 == 1, "7").when(e % 6 == 2, quoted).when(e % 6 == 3, "true").when(e % 6 == 4, "[1]").otherwise("null")
+    rows = table(spark, sf_dir, "events").select("event_id", P.parse_json(F.concat(F.lit('{"trust":'), value, F.lit("}"))).alias("doc"))
+    return rows.select("event_id", P.number_only(P.child(F.col("doc"), "trust")).alias("trust"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || ' "it''s"' WHEN 1 THEN event_type WHEN 2 THEN (props->>'$.k') || '.0' WHEN 3 THEN 'a' || chr(10) || 'b' END AS said,
+  event_id % 5 <> 4 AS ok FROM events""")
+def q_json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single quotes, bare names and words, other marks, comments and line breaks in texts are read; broken documents aren't."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    text = (
+        F.when(e % 5 == 0, F.concat(F.lit("{'said': '"), kind, F.lit(" \"it\\'s\"', more: [1, TRUE]}")))
+        .when(e % 5 == 1, F.concat(F.lit("# a comment\n{said = "), kind, F.lit("; other: x} // end")))
+        .when(e % 5 == 2, F.concat(F.lit("{said: "), F.get_json_object("props", "$.k"), F.lit(", 'n': NaN}")))
+        .when(e % 5 == 3, F.lit('{"said": "a\nb"}'))
+        .otherwise(F.concat(F.lit('{ "said": "'), kind, F.lit('  "other": [ ,,, broken')))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", P.parse_json(text).alias("doc"))
+    return rows.select("event_id", P.as_text(P.child(F.col("doc"), "said")).alias("said"), F.col("doc").isNotNull().alias("ok"))
+
+
+@query("""SELECT o_orderkey, '{' || chr(10) || '  "key": ' || o_orderkey || ',' || chr(10) || '  "place": {' || chr(10) || '    "status": "' || o_orderstatus || '",' || chr(10) || '    "none": null' || chr(10) || '  },' || chr(10) ||
+  '  "list": [' || chr(10) || '    "' || o_orderpriority || '",' || chr(10) || '    "x"' || chr(10) || '  ],' || chr(10) || '  "empty": []' || chr(10) || '}' AS json FROM orders""")
+def q_json_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.struct(
+        F.col("o_orderkey").alias("key"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("none")).alias("place"),
+        F.array("o_orderpriority", F.lit("x")).alias("list"),
+        F.array().cast("array<string>").alias("empty"),
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    return rows.select("o_orderkey", json_text(F.col("body"), rows.schema["body"].dataType, 0).alias("json"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN c_custkey < 10000000 THEN '+1' || (4000000000 + c_custkey) END AS phone, CASE WHEN n_name = 'UNITED STATES' THEN 'US' WHEN n_name = 'UNITED KINGDOM' THEN 'GB' ELSE """ + _COUNTRY_SQL("n_name") + """ END AS country,
+  'u' || c_custkey || '@x.org' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'Kubernetes' ELSE c_mktsegment END AS skill, '2017-06' AS since, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def q_normalizer_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every normalizer of the registry by name, as a SQL function."""
+    N.register_sql(spark)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = table(spark, sf_dir, "customer").join(nation, "c_nationkey")
+    return rows.selectExpr(
+        "c_custkey", "norm_e164('(' || substr(cast(4000000000 + c_custkey as string), 1, 3) || ') ' || substr(cast(4000000000 + c_custkey as string), 4)) AS phone", "norm_country(n_name) AS country",
+        "norm_email(' U' || c_custkey || '@X.org ') AS email", "norm_canonical(CASE WHEN c_custkey % 2 = 0 THEN 'k8s' ELSE c_mktsegment END) AS skill", "norm_date('Jun 2017') AS since", "norm_name(norm_text('  ' || c_name || ' ')) AS name",
+    )
+
+
+@query(f"""WITH {_CANONICAL_SQL}, f AS (SELECT unnest(['both', 'neither', 'default', 'not a boolean']) AS flags)
+  SELECT candidate_id, flags, CASE WHEN flags <> 'neither' THEN overall_confidence END AS overall_confidence, CASE WHEN flags = 'both' THEN 'full_name' END AS first_traced FROM canonical, f""")
+def q_include_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a configuration's flags include: confidence unless it is false, provenance if it is true."""
+    records = C.canonical_records(_ledger(spark, sf_dir))
+    configs = {
+        "both": {"include_confidence": True, "include_provenance": True},
+        "neither": {"include_confidence": False, "include_provenance": False},
+        "default": {},
+        "not a boolean": {"include_confidence": "no", "include_provenance": "yes"},
+    }
+    out = None
+    for name, flags in configs.items():
+        text = project_json(records, {"fields": [{"path": "candidate_id"}]} | flags, keep=("candidate_id",))
+        part = text.select("candidate_id", F.lit(name).alias("flags"), F.get_json_object("output", "$.overall_confidence").cast("double").alias("overall_confidence"), F.get_json_object("output", "$.provenance[0].field").alias("first_traced"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {_CANONICAL_SQL} SELECT candidate_id, true AS has_name, false AS has_confidence, false AS has_provenance, 'name,sources' AS skill_keys, string_split(skill_names, '|')[1] AS first_skill FROM canonical""")
+def q_pruned_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records with both flags off: no confidences anywhere, no provenance."""
+    records = C.without_provenance(C.without_confidence(C.canonical_records(_ledger(spark, sf_dir))))
+    text = project_json(records, None, keep=("candidate_id",)).select("candidate_id", "output")
+    has = lambda key: F.array_contains(F.json_object_keys("output"), key)
+    return text.select(
+        "candidate_id",
+        has("full_name").alias("has_name"),
+        (has("overall_confidence") | has("field_confidence")).alias("has_confidence"),
+        has("provenance").alias("has_provenance"),
+        F.array_join(F.json_object_keys(F.get_json_object("output", "$.skills[0]")), ",").alias("skill_keys"),
+        F.get_json_object("output", "$.skills[0].name").alias("first_skill"),
+    )
+
+
+# ---- manifests and documents in files, made from the nation table (of fixed size) ----
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """A folder with a manifest and documents of every nation; its path and the manifests'."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file:{tempfile.mkdtemp(prefix='ledgerloom-')}"
+    folder = f"{root.rstrip('/')}/manifests-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    manifests = []
+    for key, name in sorted(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()):
+        entries = [
+            {"type": "github_api", "path": f"profile_{key}.json", "timestamp": "2026-06-22", "trust": 0.25},
+            {"type": "recruiter_notes", "path": f"./notes_{key}.txt", "trust": "high"},
+            {"type": "resume", "path": f"absent_{key}.txt", "timestamp": None},
+            {"type": "ats_json", "path": f"broken_{key}.json", "timestamp": 2026},
+        ]
+        head = {} if key % 5 == 0 else {"candidate_id": f"c{key}"}
+        files = {
+            f"manifest_{key}.json": json.dumps(head | {"sources": entries}),
+            f"profile_{key}.json": json.dumps({"name": name, "login": f"n{key}"}),
+            f"notes_{key}.txt": f"Expertise in k8s and {name}\n",
+            f"broken_{key}.json": '{"candidateName": "x',
+        }
+        for file, text in files.items():
+            path = hadoop.Path(f"{folder}/{file}")
+            out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+        manifests.append(f"{folder}/manifest_{key}.json")
+    return folder, manifests
+
+
+_MANIFEST_SQL = """m AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'unknown' ELSE 'c' || n_nationkey END AS candidate_id FROM nation), e AS (
+  SELECT candidate_id, k, n_name, unnest([0, 1, 2, 3]) AS pos, unnest(['github_api', 'recruiter_notes', 'resume', 'ats_json']) AS type, unnest(['profile_' || k || '.json', './notes_' || k || '.txt', 'absent_' || k || '.txt', 'broken_' || k || '.json']) AS path,
+    unnest(['2026-06-22', NULL, 'null', '2026.0']) AS timestamp, unnest([0.25, NULL, NULL, NULL])::DOUBLE AS trust FROM m)"""
+
+
+@query(f"WITH {_MANIFEST_SQL} SELECT candidate_id, pos, type, path, timestamp, trust FROM e")
+def q_manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_manifests(spark, _files(spark, sf_dir)[1]).select("candidate_id", "pos", "type", "path", "timestamp", "trust")
+
+
+@query(
+    f"""WITH {_MANIFEST_SQL} SELECT candidate_id, pos, type, CASE pos WHEN 0 THEN '{{"name": "' || n_name || '", "login": "n' || k || '"}}' WHEN 1 THEN 'Expertise in k8s and ' || n_name || chr(10) WHEN 3 THEN '{{"candidateName": "x' END AS content,
+  CASE pos WHEN 2 THEN 'read failed: ' || path WHEN 3 THEN 'extract failed: not a JSON value' END AS error FROM e"""
+)
+def q_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files found by the manifests' paths, and what became of each source."""
+    folder, manifests = _files(spark, sf_dir)
+    documents = read_documents(spark, read_manifests(spark, manifests), folder)
+    return extract(documents).select("candidate_id", "pos", "type", "content", "error")
+
+
+@query(
+    f"""WITH {_MANIFEST_SQL}, c AS (
+  SELECT candidate_id, k, 'github_api' AS source_id, unnest(['full_name', 'links.github']) AS field_path, unnest([n_name, 'https://github.com/n' || k]) AS value, unnest([0.25, 0.99])::DOUBLE AS trust, '2026-06-22' AS observed_at FROM m
+  UNION ALL SELECT candidate_id, k, 'recruiter_notes', 'skills', unnest(['Kubernetes', string_split(n_name, '_')[1]]), 0.45, '1970-01-01' FROM m)
+  SELECT candidate_id, source_id, field_path, value, trust, observed_at FROM c"""
+)
+def q_manifest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of files on disk: a trust that is no number and a date that isn't there have their defaults."""
+    folder, manifests = _files(spark, sf_dir)
+    ledger = build_ledger(extract(read_documents(spark, read_manifests(spark, manifests), folder)))
+    return ledger.select("candidate_id", "source_id", "field_path", F.col("value_str").alias("value"), "trust", "observed_at")
+
+
+_CLI_SQL = ", ".join(
+    f"('{what}', {status}, {text})"
+    for what, status, text in (
+        ("written", 0, "'{\n  \"who\": \"cand\",\n  \"mails\": [\n    \"a@b.org\"\n  ],\n  \"skills\": [\n    \"Go\",\n    \"Kubernetes\"\n  ]\n}\n'"),
+        ("printed", 0, "'{\n  \"who\": \"cand\",\n  \"mails\": [\n    \"a@b.org\"\n  ],\n  \"skills\": [\n    \"Go\",\n    \"Kubernetes\"\n  ]\n}\n'"),
+        ("explained", 0, "'  recruiter_notes  OK   3 claims\n  fax              SKIP (unknown source type ''fax'')\n  ledger: 3 claims\n  canonical schema: VALID\n'"),
+        ("no manifest", 2, "''"),
+        ("bad policy", 2, "''"),
+        ("no arguments", 2, "''"),
+    )
+)
+
+
+@query(f"SELECT * FROM (VALUES {_CLI_SQL}) t(what, status, text)")
+def q_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line's exit status, and the file, standard output or log that it writes."""
+    from ledgerloom.plans import runner
+
+    with tempfile.TemporaryDirectory(prefix="ledgerloom-") as folder:
+        own = lambda name: os.path.join(folder, name)
+        entries = [{"type": "recruiter_notes", "path": "notes.txt"}, {"type": "fax", "path": "notes.txt"}]
+        config = {"fields": [{"path": "who", "from": "candidate_id"}, {"path": "mails", "from": "emails"}, {"path": "skills", "from": "skills[].name"}], "include_confidence": False, "on_missing": "omit"}
+        for name, text in (("m.json", json.dumps({"candidate_id": "cand", "sources": entries})), ("notes.txt", "Write to a@b.org\nSkills: go, k8s"), ("c.json", json.dumps(config)), ("bad.json", '{"on_missing": "maybe"}')):
+            with open(own(name), "w", encoding="utf-8") as f:
+                f.write(text)
+        rows = []
+
+        def run(what: str, *arguments: str, take: str | None = None) -> None:
+            out, log = io.StringIO(), io.StringIO()
+            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(log):
+                status = runner.main([*arguments], spark)
+            text = {"out": out.getvalue(), "log": log.getvalue(), None: ""}[take] if take != "file" else open(own("o.json"), encoding="utf-8").read()
+            rows.append((what, status, text))
+
+        run("written", "--manifest", own("m.json"), "--config", own("c.json"), "--out", own("o.json"), take="file")
+        run("printed", "--manifest", own("m.json"), "--config", own("c.json"), take="out")
+        run("explained", "--manifest", own("m.json"), "--config", own("c.json"), "--explain", take="log")
+        run("no manifest", "--manifest", own("none.json"))
+        run("bad policy", "--manifest", own("m.json"), "--config", own("bad.json"))
+        run("no arguments")
+    return spark.createDataFrame(rows, "what string, status int, text string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winners of every scalar field beside the candidate's overall confidence."""
     ledger = _ledger(spark, sf_dir)
