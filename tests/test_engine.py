@@ -8,19 +8,19 @@ from ledgerloom.operators import merge as M
 from ledgerloom.operators.ledger import build_ledger, extract, source_log
 from ledgerloom.plans import projection as J
 from ledgerloom.plans import runner
-from tests.fixtures import ADA, COMPACT, COMPACT_OUTPUT, laid_out
+from tests.fixtures import CLAIMS, CONFIG, MIRA, OUTPUT, laid_out
 
 DOCUMENT = "candidate_id string, pos int, type string, path string, timestamp string, trust double, content string"
 
 
 @pytest.fixture(scope="module")
-def ada(spark, tmp_path_factory):
-    return runner.run_manifests(spark, laid_out(tmp_path_factory.mktemp("ada"), ADA))
+def mira(spark, tmp_path_factory):
+    return runner.run_manifests(spark, laid_out(tmp_path_factory.mktemp("mira"), MIRA))
 
 
 @pytest.fixture(scope="module")
-def record(ada):
-    return ada.canonical.first().asDict(recursive=True)
+def record(mira):
+    return mira.canonical.first().asDict(recursive=True)
 
 
 def claims(spark, *documents):
@@ -28,53 +28,65 @@ def claims(spark, *documents):
     return extract(spark.createDataFrame(rows, DOCUMENT))
 
 
-def test_counts_and_corrupt_source(ada):
-    log = {(r.pos, r.type): (r.ok, r.claims) for r in ada.source_log.collect()}
-    assert [c for _, (_, c) in sorted(log.items())] == [8, 16, 0, 10, 12, 13, 4]
-    assert log[(2, "ats_json")] == (False, 0)
-    assert ada.ledger_sizes().first().claims == 63
+def test_counts_and_corrupt_source(mira):
+    log = {r.pos: (r.type, r.ok, r.claims) for r in mira.source_log.collect()}
+    assert [log[i][2] for i in range(7)] == CLAIMS and log[1] == ("ats_json", False, 0) and all(log[i][1] for i in log if i != 1)
+    assert mira.ledger_sizes().first().claims == sum(CLAIMS)
 
 
-def test_conflicts_and_confidence(record):
-    assert record["validation_errors"] == [] and record["overall_confidence"] == 0.779
-    assert record["full_name"] == "Ada B. Lovelace" and record["headline"] == "Staff Software Engineer"
-    want = {"full_name": 0.58, "headline": 0.66, "years_experience": 0.85, "location.city": 0.86, "location.region": 0.82, "location.country": 1.0, "links.linkedin": 0.91, "links.github": 0.99}
-    assert record["field_confidence"] == want
+def test_winners_and_confidence(record):
+    # system.json's trust of 0.95 beats the export's 0.9; a second source that agrees adds 0.12, a third 0.072; each that differs takes 0.08.
+    assert record["validation_errors"] == []
+    assert (record["full_name"], record["headline"], record["years_experience"]) == ("Mira Holt", "Pipelines and tea", 8.0)
+    assert record["location"] == {"city": "Hamburg", "region": "HH", "country": "DE"}
+    assert record["field_confidence"] == {
+        "full_name": 0.982,
+        "headline": 0.99,
+        "years_experience": 0.95,
+        "location.city": 1.0,
+        "location.region": 0.9,
+        "location.country": 1.0,
+        "links.linkedin": 0.99,
+        "links.github": 0.99,
+    }
 
 
 def test_lists_and_records(record):
-    assert record["emails"] == ["ada.lovelace@example.com", "alovelace@oldmail.com"]
-    assert record["phones"] == ["+14155550142", "+14155550199"]
-    assert record["links"]["other"] == ["https://adalovelace.dev"] and record["links"]["portfolio"] is None
-    go = next(s for s in record["skills"] if s["name"] == "Go")
-    assert go == {"name": "Go", "confidence": 1.0, "sources": ["ats_json", "github_api", "linkedin", "recruiter_notes", "resume"]}
-    assert record["experience"][0] == {"company": "Analytical Engines Inc", "title": "Staff Software Engineer", "start": "2021-03", "end": "present", "summary": "Lead on the streaming data platform."}
-    assert record["experience"][1]["summary"] == "Built the compute scheduler."
-    assert record["education"] == [{"institution": "MIT", "degree": "B.S.", "field": "Computer Science", "end_year": 2017}]
+    assert record["emails"] == ["mira@holt.example", "m.holt@oldpost.example"]
+    assert record["phones"] == ["+49305550188"]
+    assert record["links"] == {"linkedin": "https://www.linkedin.com/in/miraholt", "github": "https://github.com/mjholt", "portfolio": None, "other": ["https://holt.example/notes"]}
+    skills = {s["name"]: s["sources"] for s in record["skills"]}
+    assert skills == {"dbt": ["resume"], "Kubernetes": ["recruiter_notes"], "Rust": ["github_api", "resume"], "Scala": ["github_api", "linkedin", "recruiter_notes"], "SQL": ["ats_json", "linkedin", "resume"]}
+    # The export's role comes first (trust 0.9) and takes start and summary from the network's; the CV's is the network's second one.
+    assert record["experience"] == [
+        {"company": "kranich logistics", "title": "Data Engineer", "start": "2019-04", "end": "present", "summary": "Runs the freight lake."},
+        {"company": "Uferwerk", "title": "Analyst", "start": "2016-02", "end": "2019-03", "summary": None},
+    ]
+    assert record["education"] == [{"institution": "TU Hamburg", "degree": "MSc", "field": "Statistics", "end_year": 2015}]
 
 
 def test_provenance(record):
     fields = [p["field"] for p in record["provenance"]]
     assert fields[:8] == ["full_name", "headline", "years_experience", "location.city", "location.region", "location.country", "links.linkedin", "links.github"]
-    assert {"field": "skills:Go", "source": "ats_json", "method": "ats:skillTags"} in record["provenance"]
+    assert {"field": "skills:Scala", "source": "github_api", "method": "notes:skill_phrase"} in record["provenance"]
     assert record["provenance"][-1] == {"field": "education", "source": "resume", "method": "resume:education_section"}
 
 
-def test_permuted_ledger_gives_the_same(ada, record):
-    again = C.canonical_records(ada.ledger.orderBy(F.rand(3)).repartition(3)).first().asDict(recursive=True)
+def test_permuted_ledger_gives_the_same(mira, record):
+    again = C.canonical_records(mira.ledger.orderBy(F.rand(3)).repartition(3)).first().asDict(recursive=True)
     assert all(again[k] == record[k] for k in again)
 
 
-def test_compact_projection(ada):
-    text = J.project_json(ada.canonical.drop("validation_errors"), COMPACT).first().output
-    assert json.loads(text) == COMPACT_OUTPUT
+def test_configured_output(mira):
+    text = J.project_json(mira.canonical.drop("validation_errors"), CONFIG).first().output
+    assert json.loads(text) == OUTPUT
 
 
 def test_command_line(spark, tmp_path, capsys):
-    manifest = laid_out(tmp_path, ADA)
-    (tmp_path / "config.json").write_text(json.dumps(COMPACT))
+    manifest = laid_out(tmp_path, MIRA)
+    (tmp_path / "config.json").write_text(json.dumps(CONFIG))
     assert runner.main(["--manifest", manifest, "--config", str(tmp_path / "config.json"), "--out", str(tmp_path / "o.json"), "--explain"], spark) == 0
-    assert (tmp_path / "o.json").read_text() == json.dumps(COMPACT_OUTPUT, indent=2) + "\n"
+    assert (tmp_path / "o.json").read_text() == json.dumps(OUTPUT, indent=2) + "\n"
     assert "SKIP" in capsys.readouterr().err
     assert runner.main(["--manifest", str(tmp_path / "none.json")], spark) == 2
     assert runner.main([], spark) == 2
@@ -84,16 +96,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert runner.main(["--manifest", str(tmp_path / "list.json")], spark) == 2
 
 
-def test_paths(ada):
-    frame, schema = ada.canonical, ada.canonical.schema
+def test_paths(mira):
+    frame, schema = mira.canonical, mira.canonical.schema
 
     def at(path):
         v = J._from_columns(schema, path)
         return None if v.column is None else frame.select(v.column.alias("v")).first().v
 
-    assert at("emails[0]") == "ada.lovelace@example.com" and at("emails[9]") is None and at("phones[-1]") is None
-    assert at("skills[].name")[0] == "Apache Kafka" and at("location.country") == "US"
-    assert at("experience[0].title") == "Staff Software Engineer" and at("skills[0].sources[1]") == "recruiter_notes"
+    assert at("emails[0]") == "mira@holt.example" and at("emails[9]") is None and at("phones[-1]") is None
+    assert at("skills[].name")[0] == "dbt" and at("location.country") == "DE"
+    assert at("experience[0].title") == "Data Engineer" and at("skills[2].sources[1]") == "resume"
     assert at("location.nothing") is None and at("emails.x") is None and at("") is None
 
 
