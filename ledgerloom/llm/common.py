@@ -7,18 +7,19 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local folder in local mode and an error on a cluster."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have:
         return have.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -31,29 +32,19 @@ ROWS_A_FILE = 200_000
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows written as Parquet under the shared folder and read again: short lineage that survives lost executors.
 
-    ``rows``: about how many at most; small tables then go to few files.
+    ``rows``: about how many at most; small tables then go to few files, but no fewer than there are cores.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(6, rows // ROWS_A_FILE))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows computed now and kept on the executors' disks; what a lost executor held is computed again. For tables whose inputs stay."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() or kept()."""
+    """Deletes tables made by written(), and whatever else was read from the same folder."""
     for df in tables:
-        if df.is_cached:
-            df.unpersist()
-            continue
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -52,6 +52,8 @@ FEW = 32
 BLOCK = 1024
 #: Rows of buckets of one lowest member that go to one task, about.
 ROWS_A_TASK = 8192
+#: Lowest members with more rows than that, which are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
 #: Classes that a task remembers to have announced.
 SEEN = 1 << 20
 #: Fragment hashes that meet in one task when those found twice are looked for, about.
@@ -159,7 +161,7 @@ def _repeated(rows: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             held += batch.column(0).to_pylist()
             size += batch.column(0).nbytes
-            if size > 1 << 25:
+            if size > 1 << 23:
                 yield from packed()
                 held.clear()
                 size = 0
@@ -426,8 +428,10 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
     members = written(members.select("sig", "low", "class", "component", "n", "sketch", "m"), "open", 8 * n_docs)
     release(spark)
     # A bucket of more than BLOCK members is cut into blocks, and each pair of blocks meets once.
-    salts = members.groupBy("low").agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("salts"))
-    spread = members.join(salts, "low").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    salts = written(members.groupBy("low").agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("more")).where("more > 1"), "salts", n_docs)
+    if salts.count() <= BROADCAST_ROWS:
+        salts = F.broadcast(salts)
+    spread = members.join(salts, "low", "left").withColumn("salts", F.coalesce("more", F.lit(1))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     meet = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
