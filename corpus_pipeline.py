@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import residue, written
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
-from ledgerloom.llm.mixing import WORD, mix_sources
+from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.ngram_join import jaccard_components
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.quality_classifier import fit_quality_classifier, score_quality
@@ -37,22 +37,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the least id."""
-    kept = jaccard_components(docs, k=5, p=80, q=100).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    # Rows that repeat an id are one document; rows without an id are told apart by their texts.
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept_rows = rows.withColumn("own", own).dropDuplicates(["doc_id", "own"]).select(COLUMNS)
-    return kept_rows.coalesce(max(12, docs.count() // 10_000))
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the least id.
+
+    Rows are told apart by id and content, so different texts under one id (or
+    none) each count; rows that agree in all columns are one.
+    """
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS[1:]]
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*rest).alias("content"))
+    rows = docs.select(COLUMNS).withColumn("own", own)
+    found = jaccard_components(rows.select(F.col("own").alias("doc_id"), "text"), k=5, p=80, q=100)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("own")).distinct()
+    return rows.join(kept, "own", "left_semi").dropDuplicates(["own"]).select(COLUMNS).coalesce(max(12, docs.count() // 10_000))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each row as the mix takes, the last one of a source cut to the words that are left."""
-    mixed = mix_sources(docs.select(COLUMNS), cycle=(3, 1, 2), share=1.5, repeats=2, carry=COLUMNS[1:]).where("taken > 0")
-    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    cut = F.when(part > 0, F.array(F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part.cast("int"))))).otherwise(F.array().cast("array<string>"))
-    copies = mixed.withColumn("text", F.explode(F.concat(F.array_repeat("text", whole), cut)))
-    return copies.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """As many whole copies of each row as the mix takes; the last one of a source is whole or left out, whichever is nearer."""
+    mixed = mix_sources(docs.select(COLUMNS), cycle=(3, 1, 2), share=1.5, repeats=2, carry=COLUMNS[1:])
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return mixed.where("taken > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
