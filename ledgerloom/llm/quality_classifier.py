@@ -1,16 +1,20 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Every word counts as two types: its form (case, first and last characters,
-length, whether it just occurred) and its own hash. A type has a sparse ternary
-index vector drawn from its number; its word vector adds the index vectors of
-the types around it in a bounded labelled sample (random indexing). A document
-is the mean of its words' vectors; a tanh layer and a logistic unit score it,
-and a temperature fitted on held-back sample rows calibrates the probability.
+Every word has a sparse ternary index vector drawn from its 64-bit hash. The
+words of a bounded labelled sample that at least LEAST_TEXTS of its texts have
+are its vocabulary: their vectors add the index vectors of the words around
+them, over all places in the sample (random indexing); any other word is its
+index vector. A word's form (case, first and last characters, length, whether
+it just occurred) is a second word beside it, of one of FORMS classes, with
+contexts of its own. A document is the means of its words' and its forms'
+vectors, side by side, the former as if SHRINK words without a vector were
+added, since few words tell little; a tanh layer and a logistic unit score it, and a
+temperature fitted on held-back sample rows calibrates the probability.
 
 Defined results: texts without a word (null, empty, white space) score 0;
 repeated rows score alike; extra columns are ignored; an empty table gives an
 empty result; without both labels in the sample the score is their mean (0.5
-without any). Very long texts are pooled whole, a segment at a time.
+without any). Very long texts are pooled whole.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import textkernel as K
 from ledgerloom.llm.common import need, sampled_ids, with_text_columns
 
-FORMS, WORDS = 4096, 2048
-TYPES = FORMS + WORDS
+#: Classes of forms (a hash of a form's traits), texts of the sample that a word of the vocabulary is in at least, and words of the vocabulary at most (those in most texts).
+FORMS, LEAST_TEXTS, VOCABULARY = 4096, 3, 30_000
+#: Non-zero components of an index vector, and how far around a word its context goes.
+NONZERO, REACH = 6, 2
+SHRINK = 30
 
 _CLASS = np.full(256, 4, np.uint64)  # other
 _CLASS[48:58] = 0
@@ -36,8 +43,8 @@ _CLASS[128:] = 3
 _MARK = np.where(np.isin(_CLASS, (0, 4)), np.arange(256), 0).astype(np.uint64)
 
 
-def word_types(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The form and word types of each word; recency never looks across texts."""
+def word_forms(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The form class of each word; recency never looks across texts."""
     n = len(hashes)
     length = np.minimum(ends - starts, 15).astype(np.uint64)
     recent = np.zeros(n, bool)
@@ -48,53 +55,95 @@ def word_types(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np
     last, before = buf[ends - 1], buf[np.maximum(ends - 2, starts)]
     form = _CLASS[buf[starts]] + np.uint64(8) * _CLASS[buf[np.minimum(starts + 1, ends - 1)]] + np.uint64(64) * _CLASS[before]
     form = form + np.uint64(512) * length + np.uint64(8192) * recent + np.uint64(16384) * _MARK[last] + np.uint64(1 << 22) * _MARK[before] + np.uint64(1 << 30) * _CLASS[last]
-    return (K.mix(form) % np.uint64(FORMS)).astype(np.int64), (FORMS + (hashes >> np.uint64(40)) % np.uint64(WORDS)).astype(np.int64)
+    return (K.mix(form) % np.uint64(FORMS)).astype(np.int64)
 
 
-def histograms(texts: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(first index, share of each type a text, the types' sequences of each batch)."""
+def parsed(texts: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first index, word hashes, form classes, each text's first word) of batches of texts."""
     for at, buf, offsets in K.batches(texts, 1 << 18):
         starts, ends, hashes = K.words_of(buf)
         bounds = K.word_bounds(starts, offsets)
-        kinds = word_types(buf, starts, ends, hashes, bounds)
-        n = len(offsets) - 1
-        owner = np.repeat(np.arange(n), np.diff(bounds)) * TYPES
-        counts = np.bincount(np.concatenate([owner + k for k in kinds]), minlength=n * TYPES).reshape(n, TYPES).astype(np.float32)
-        yield at, counts / np.maximum(np.diff(bounds), 1)[:, None].astype(np.float32), [*kinds, bounds]
-
-
-def index_vectors(size: int, nonzero: int = 6) -> np.ndarray:
-    """A sparse ternary vector for each type, a function of the type's number alone."""
-    rng = np.random.default_rng(97)
-    out = np.zeros((TYPES, size), np.float32)
-    spots = rng.integers(0, size, (TYPES, nonzero))
-    signs = rng.choice(np.array([-1, 1], np.float32), (TYPES, nonzero))
-    np.add.at(out, (np.arange(TYPES)[:, None], spots), signs)
-    return out
-
-
-def word_vectors(sequences: list[list[np.ndarray]], size: int, reach: int = 2) -> np.ndarray:
-    """Index vectors plus normalised sums of the neighbours' (within ``reach`` words of the same text)."""
-    index = index_vectors(size)
-    context = np.zeros((TYPES, size), np.float64)
-    for forms, words, bounds in sequences:
-        inside = np.arange(len(forms)) - np.repeat(bounds[:-1], np.diff(bounds))
-        for lag in range(1, reach + 1):
-            ok = np.flatnonzero(inside >= lag)
-            for a, b in ((ok, ok - lag), (ok - lag, ok)):
-                pairs, count = np.unique(forms[a] * TYPES + forms[b], return_counts=True)
-                more, n2 = np.unique(words[a] * TYPES + forms[b], return_counts=True)
-                for p, c in ((pairs, count), (more, n2)):
-                    own, at = np.unique(p // TYPES, return_index=True)
-                    if len(own):
-                        context[own] += np.add.reduceat(index[p % TYPES] * c[:, None], at, axis=0)
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return (index / np.linalg.norm(index, axis=1, keepdims=True).clip(1) + context / norm.clip(1e-9)).astype(np.float32)
+        yield at, hashes, word_forms(buf, starts, ends, hashes, bounds), bounds
+
+
+def index_parts(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the non-zero components of the index vectors of 64-bit keys, NONZERO each."""
+    drawn = K.mix(key[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64) ^ np.uint64(0x51A2C6E3B7D94F08))
+    return ((drawn >> np.uint64(1)) % np.uint64(size)).astype(np.int64), 1 - 2 * (drawn & np.uint64(1)).astype(np.float32)
+
+
+def index_vectors(key: np.ndarray, size: int) -> np.ndarray:
+    """The index vectors themselves, at length 1."""
+    spots, signs = index_parts(key, size)
+    out = np.bincount((np.arange(len(key))[:, None] * size + spots).ravel(), signs.ravel(), len(key) * size).reshape(len(key), size).astype(np.float32)
+    return out / np.linalg.norm(out, axis=1, keepdims=True).clip(1)
+
+
+class Vectors:
+    """Vectors of the vocabulary's words (``keys``: their hashes, in order) and of all forms."""
+
+    def __init__(self, keys: np.ndarray, size: int):
+        self.keys, self.size = keys, size
+        self.words, self.forms = index_vectors(keys, size), index_vectors(np.arange(FORMS, dtype=np.uint64), size)
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Which word of the vocabulary each hash is, -1 if none."""
+        at = np.searchsorted(self.keys, hashes)
+        return np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == hashes, at, -1) if len(self.keys) else np.full(len(hashes), -1)
+
+    def learn(self, texts: Sequence[bytes | None]) -> None:
+        """Adds the normalised sums of the index vectors around each word and form, over all their places."""
+        form_keys = np.arange(FORMS, dtype=np.uint64)
+        sums = [np.zeros(len(self.keys) * self.size), np.zeros(FORMS * self.size)]
+        for _, hashes, forms, bounds in parsed(texts):
+            inside = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+            for own, keys, total in ((self.place(hashes), hashes, sums[0]), (forms, form_keys[forms], sums[1])):
+                spots, signs = index_parts(keys, self.size)
+                for lag in range(1, REACH + 1):
+                    later = np.flatnonzero(inside >= lag)
+                    for word, near in ((later, later - lag), (later - lag, later)):
+                        known = own[word] >= 0
+                        word, near = word[known], near[known]
+                        total += np.bincount((own[word][:, None] * self.size + spots[near]).ravel(), signs[near].ravel(), len(total))
+        for vectors, total in zip((self.words, self.forms), sums, strict=True):
+            context = total.reshape(vectors.shape)
+            vectors += (context / np.linalg.norm(context, axis=1, keepdims=True).clip(1e-9)).astype(np.float32)
+
+    def pooled(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Means of the words' and of the forms' vectors of each text, side by side, and its number of words."""
+        out, n = np.zeros((len(texts), 2 * self.size), np.float32), np.zeros(len(texts), np.int64)
+        for at, hashes, forms, bounds in parsed(texts):
+            count = np.diff(bounds)
+            end = at + len(count)
+            n[at:end] = count
+            some = np.flatnonzero(count)
+            if not len(some):
+                continue
+            kind, of = np.unique(hashes, return_inverse=True)
+            place = self.place(kind)
+            vectors = index_vectors(kind, self.size)
+            vectors[place >= 0] = self.words[place[place >= 0]]
+            for column, sums, extra in ((0, vectors[of], SHRINK), (self.size, self.forms[forms], 0)):
+                out[at + some, column : column + self.size] = np.add.reduceat(sums, bounds[some], axis=0) / (count[some][:, None] + extra)
+        return out, n
+
+
+def vocabulary(texts: Sequence[bytes | None]) -> np.ndarray:
+    """Hashes of the words that at least LEAST_TEXTS of the texts have, at most VOCABULARY of them, in order."""
+    found = [K.mix(np.zeros(0, np.uint64))]
+    for _, hashes, _, bounds in parsed(texts):
+        owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        order = np.lexsort((hashes, owner))
+        h, o = hashes[order], owner[order]
+        found.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))] if len(h) else h)
+    key, texts_with = np.unique(np.concatenate(found), return_counts=True)
+    most = np.lexsort((key, -texts_with))[:VOCABULARY]
+    return np.sort(key[most[texts_with[most] >= LEAST_TEXTS]])
 
 
 @dataclass
 class QualityModel:
-    vectors: np.ndarray
+    vectors: Vectors
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -108,12 +157,8 @@ class QualityModel:
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, texts: Sequence[bytes | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for at, shares, (_, _, bounds) in histograms(texts):
-            logit = self.logits(shares @ self.vectors) / self.temperature
-            some = np.diff(bounds) > 0
-            out[at : at + len(shares)] = np.where(some, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
-        return out
+        pooled, words = self.vectors.pooled(texts)
+        return np.where(words > 0, 1 / (1 + np.exp(-np.clip(self.logits(pooled) / self.temperature, -30, 30))), 0.0)
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 3000, rate: float = 0.01, decay: float = 3e-3, seed: int = 5) -> tuple:
@@ -154,14 +199,19 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, most: int = 6000,
     own = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
     rows = own.where(F.col("text").isNotNull() & (F.length("text") <= longest)).orderBy("doc_id", "text").limit(most).collect()  # of few ids already
     texts, y = [r["text"].encode() for r in rows], np.array([float(r["quality"] > 0) for r in rows])
-    sequences = [[x.astype(np.int32) for x in kinds] for _, _, kinds in histograms(texts)]
-    vectors = word_vectors(sequences, size)
-    del sequences
+    del rows
+    return fit_model(texts, y, size)
+
+
+def fit_model(texts: Sequence[bytes], y: np.ndarray, size: int = 96) -> QualityModel:
+    """The model of labelled texts."""
+    vectors = Vectors(vocabulary(texts), size)
     if len(y) < 10 or y.min() == y.max():
         mean = y.mean() if len(y) else 0.5
         flat = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-        return QualityModel(vectors, np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), flat, 1.0)
-    pooled = np.concatenate([shares @ vectors for _, shares, _ in histograms(texts)]).astype(float)
+        return QualityModel(vectors, np.zeros(2 * size), np.ones(2 * size), np.zeros((2 * size, 1)), np.zeros(1), np.zeros(1), flat, 1.0)
+    vectors.learn(texts)
+    pooled = vectors.pooled(texts)[0].astype(float)
     mean, scale = pooled.mean(0), pooled.std(0) + 1e-6
     return QualityModel(vectors, mean, scale, *fit_network((pooled - mean) / scale, y))
 
