@@ -4,8 +4,9 @@ Markup is stripped into lines, one a block element. Every line has a weight:
 its text's length, or 0 where the markup shows that it is not article text
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
 hidden parts, lists of links; and, on pages that mark an article, all that lies
-outside). Weights are summed over sliding windows of lines; the sum's surges
-and dives bound the text, and the weighted lines between them are kept.
+outside). Weights are summed over sliding windows of lines, on every page alike;
+the sum's surges and dives bound the text, and the weighted lines between them
+are kept. Time is linear in the page's length, however deeply it is nested.
 
 Defined results: null and empty pages give an empty text; pages may be cut off
 anywhere (open comments, scripts and tags end with the page); character
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.common import need, with_text_columns
 
 WINDOW = 3
-#: Characters in a window from which an unmarked page's text begins.
+#: Characters in a window from which a page's text begins (or the page's best window, if that has fewer).
 SURGE = 80
 
 BLOCKS = set(
@@ -98,40 +99,93 @@ def _is_text(tag: str, attributes: dict[str, str]) -> bool:
     return tag in ("div", "section", "td") and any(TEXT_IDS.fullmatch(n) for n in names if n)
 
 
+class _Open:
+    """The open elements, with what they say of the text inside; every question takes constant time."""
+
+    FENCES = ("article", "main", "body", "table")
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, side, mark, link
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.fences: list[int] = []  # where a fence is open
+        self.sides: list[int] = []  # where an element is aside, and where it is whatever it holds
+        self.hard = 0
+        self.marks: list[int] = []
+        self.articles = self.links = 0
+
+    def push(self, tag: str, side: int, mark: int, link: bool) -> None:
+        i = len(self.stack)
+        self.stack.append((tag, side, mark, link))
+        self.at.setdefault(tag, []).append(i)
+        if tag in self.FENCES:
+            self.fences.append(i)
+        if side:
+            self.sides.append(i)
+            self.hard += side == 2
+        if mark:
+            self.marks.append(i)
+            self.articles += mark == 2
+        self.links += link
+
+    def pop(self) -> None:
+        tag, side, mark, link = self.stack.pop()
+        i = len(self.stack)
+        self.at[tag].pop()
+        for held in (self.fences, self.sides, self.marks):
+            if held and held[-1] == i:
+                held.pop()
+        self.hard -= side == 2
+        self.articles -= mark == 2
+        self.links -= link
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of that name and all in it; only an article, main, body or html reaches beyond a fence."""
+        where = self.at.get(tag)
+        if where and (tag in ("body", "html", "article", "main") or not self.fences or self.fences[-1] <= where[-1]):
+            for _ in range(len(self.stack) - where[-1]):
+                self.pop()
+
+    def found_article(self) -> None:
+        """Elements that were aside unless they hold the article aren't."""
+        for i in self.sides:
+            tag, _, mark, link = self.stack[i]
+            self.stack[i] = (tag, 0, mark, link)
+        self.sides.clear()
+
+    @property
+    def marked(self) -> int:
+        return 2 if self.articles else 1 if self.marks else 0
+
+    @property
+    def lifted(self) -> bool:
+        return bool(self.sides and self.marks) and not self.hard and self.marks[-1] > self.sides[-1]
+
+
+#: What a block element closes by its own beginning.
+_IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}
+
+
 def strip_markup(page: str) -> list[Line]:
     """The page as lines of plain text, one a block element, with what the markup says of each."""
     lines: list[Line] = []
-    stack: list[tuple[str, int, int, bool]] = []  # tag, side, mark, link
+    around = _Open()
     parts: list[str] = []
     linked = 0
-    side = link = lifted = False
-    marked = 0  # 2 inside an article, 1 inside another container of text
 
-    def close() -> None:
+    def end_line() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                lines.append(Line(text, side, linked / len(text), marked, lifted))
+                lines.append(Line(text, bool(around.sides), linked / len(text), around.marked, around.lifted))
             parts.clear()
         linked = 0
 
-    def lifts() -> bool:
-        last = max(i for i, s in enumerate(stack) if s[1])
-        return all(s[1] < 2 for s in stack) and any(s[2] for s in stack[last + 1 :])
-
-    def state() -> None:
-        nonlocal side, marked, link, lifted
-        side = any(s[1] for s in stack)
-        lifted = side and lifts()
-        marked = max((s[2] for s in stack), default=0)
-        link = any(s[3] for s in stack)
-
     def add(text: str) -> None:
         nonlocal linked
         if text:
             text = html.unescape(text)
             parts.append(text)
-            linked += len(text) if link else 0
+            linked += len(text) if around.links else 0
 
     at = 0
     while m := _TAG.search(page, at):
@@ -145,14 +199,8 @@ def strip_markup(page: str) -> list[Line]:
             continue
         if m[1]:
             if tag in BLOCKS:
-                close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    state()
-                    break
-                if stack[i][0] in ("article", "main", "body", "table") and tag not in ("body", "html", "article", "main"):
-                    break
+                end_line()
+            around.close(tag)
             continue
         if tag in RAW:
             if m[3].rstrip(">").endswith("/"):
@@ -161,33 +209,28 @@ def strip_markup(page: str) -> list[Line]:
             at = end.end() if end else len(page)
             continue
         if tag in BLOCKS:
-            close()
-            implied = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "option": ("option",)}.get(tag, ("p",))
-            if stack and stack[-1][0] in implied:
-                stack.pop()
-                state()
+            end_line()
+            if around.stack and around.stack[-1][0] in _IMPLIED.get(tag, ("p",)):
+                around.pop()
         elif tag in SPACING:
             parts.append(" ")
         if tag in VOID or tag == "p" and "=" not in m[3]:
             continue
         attributes = _attributes(m[3])
         mark = 2 if tag == "article" else 1 if _is_text(tag, attributes) else 0
-        entry = (tag, _side_of(tag, attributes, marked == 2), mark, tag == "a")
-        if entry[1] and tag not in BLOCKS:
-            close()
-        if side and tag in ("article", "main") and not entry[1] and all(e[1] < 2 for e in stack):
-            stack[:] = [(e[0], 0, e[2], e[3]) for e in stack]
-            state()
-        stack.append(entry)
-        side, marked, link = side or entry[1] > 0, max(marked, mark), link or entry[3]
-        lifted = side and lifts()
+        side = _side_of(tag, attributes, around.marked == 2)
+        if side and tag not in BLOCKS:
+            end_line()
+        if around.sides and not around.hard and not side and tag in ("article", "main"):
+            around.found_article()
+        around.push(tag, side, mark, tag == "a")
     add(page[at:])
-    close()
+    end_line()
     return lines
 
 
-def weights(lines: list[Line]) -> tuple[list[int], bool]:
-    """Text length of each line, 0 for lines that can't be article text; and whether the page marks its text."""
+def weights(lines: list[Line]) -> tuple[list[int], list[bool]]:
+    """Text length of each line, 0 for lines that can't be article text; and whether each is inside what the page marks as its text."""
     # What may hold the article does if it has more text than all that isn't aside.
     text = [len(x.text) * (1 - x.linked) for x in lines]
     up = sum(n for x, n in zip(lines, text, strict=True) if x.lifted) > sum(n for x, n in zip(lines, text, strict=True) if not x.side)
@@ -195,22 +238,30 @@ def weights(lines: list[Line]) -> tuple[list[int], bool]:
     # Articles with less than half of the text in containers of text are teasers beside it.
     held = [sum(len(x.text) for x, aside in zip(lines, side, strict=True) if not aside and x.marked >= mark) for mark in (1, 2)]
     best = 2 if held[1] and 2 * held[1] >= held[0] else 1 if held[0] else 0
-    return [0 if aside or x.marked < best or not best and x.linked > 0.6 else len(x.text) for x, aside in zip(lines, side, strict=True)], bool(best)
+    weight = [0 if aside or x.marked < best or not best and x.linked > 0.6 else len(x.text) for x, aside in zip(lines, side, strict=True)]
+    return weight, [bool(best) and x.marked >= best for x in lines]
+
 
+def spans(weight: list[int], inside: list[bool]) -> list[tuple[int, int]]:
+    """Ranges of lines between a surge and the next dive of the sums of WINDOW lines.
 
-def spans(weight: list[int], surge: int) -> list[tuple[int, int]]:
-    """Ranges of lines between a surge (a window's sum above ``surge``) and the next dive (a window of nothing); after the first one any weight is a surge."""
+    A surge is a sum of more than SURGE (or the best sum, if that is less), a
+    dive a sum of nothing; after the first surge any weight is one, as a text
+    goes on after what interrupts it. A span begins where the text that leads up
+    to its surge does, or the marked text around it.
+    """
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
+    surge = min(SURGE, max(sums, default=0) - 1)
     out, i = [], 0
     while i < len(sums):
-        if sums[i] <= surge:
+        if sums[i] <= max(surge, 0):
             i += 1
             continue
         end = i
         while end < len(sums) and sums[end] > 0:
             end += 1
-        begin = i
-        while begin > 0 and weight[begin - 1] > 0:  # text that leads up to the surge
+        begin, least = i, out[-1][1] if out else 0
+        while begin > least and (weight[begin - 1] > 0 or inside[begin - 1]):
             begin -= 1
         out.append((begin, end))
         i, surge = end + 1, 0
@@ -222,9 +273,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = strip_markup(page)
-    weight, marked = weights(lines)
-    found = spans(weight, 0 if marked else min(SURGE, max(weight, default=0) - 1))
-    return "\n\n".join(lines[i].text for begin, end in found for i in range(begin, end) if weight[i])
+    weight, inside = weights(lines)
+    return "\n\n".join(lines[i].text for begin, end in spans(weight, inside) for i in range(begin, end) if weight[i])
 
 
 def _extract(pages: list[bytes | None]) -> list:
