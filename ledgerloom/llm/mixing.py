@@ -3,20 +3,24 @@
 Documents are aggregated by membership pattern (the set of sources they belong
 to). Each pattern offers its words once at no cost, a second time at cost 1, a
 third at 2 and so on (convex, so repetition spreads evenly); the flow routes
-them to the sources' quotas. Within a pattern, documents come in the order of a
+them to the sources' quotas. As costs only lie on a pattern's copies, the flow is
+cheapest if each further round of copies is only opened once no more of the
+cheaper ones can be routed: every round is a maximum flow by blocking flows, so
+sources that don't overlap cost time in proportion to their number. Within a pattern, documents come in the order of a
 seeded hash of the id: all get the whole copies, the first ones one more, and
 the document at the boundary the words that are left (a part of a copy), so
 that the quota is met exactly.
 
 Defined results: a null text has no words; null sources are a source of their
 own, last in order; repeated rows each count; rows without a word take 0; an
-empty table gives an empty result; extra columns are ignored. The driver only
-holds a row a pattern, at most MAX_PATTERNS.
+empty table gives an empty result; extra columns are ignored. The driver
+holds a row a pattern (never a document): a table of more than ``most_patterns``
+different sets of sources is refused.
 """
 
 from __future__ import annotations
 
-import heapq
+import json
 import math
 from collections.abc import Sequence
 
@@ -25,66 +29,76 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import need, written
 
-MAX_PATTERNS = 100_000
+#: Membership patterns on the driver at most, and up to how many are broadcast.
+MOST_PATTERNS, BROADCAST_PATTERNS = 1_000_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Flow:
-    """Minimum-cost flow by successive shortest paths with potentials."""
+    """Maximum flow by blocking flows over shortest paths; more room may be opened between runs."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.out[x].append(len(self.to))
-            self.to.append(y), self.room.append(r), self.cost.append(c)
+            self.to.append(y), self.room.append(r)
         return len(self.to) - 2
 
+    def _distances(self, source: int) -> list[int]:
+        far, line = [-1] * len(self.out), [source]
+        far[source] = 0
+        for x in line:
+            for e in self.out[x]:
+                if self.room[e] > 0 and far[self.to[e]] < 0:
+                    far[self.to[e]] = far[x] + 1
+                    line.append(self.to[e])
+        return far
+
     def run(self, source: int, sink: int) -> None:
-        """Sends as much as fits, cheapest first."""
-        n = len(self.out)
-        potential = [0] * n
-        while True:
-            far, came, heap = [math.inf] * n, [-1] * n, [(0, source)]
-            far[source] = 0
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > far[x]:
+        """Sends as much more as fits."""
+        while (far := self._distances(source))[sink] >= 0:
+            tried, path, x = [0] * len(self.out), [], source
+            while True:
+                if x == sink:
+                    most = min(self.room[e] for e in path)
+                    for i in range(len(path) - 1, -1, -1):
+                        self.room[path[i]] -= most
+                        self.room[path[i] ^ 1] += most
+                        if not self.room[path[i]]:
+                            cut = i
+                    x = self.to[path[cut] ^ 1]
+                    del path[cut:]
                     continue
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.room[e] > 0 and (new := d + self.cost[e] + potential[x] - potential[y]) < far[y]:
-                        far[y], came[y] = new, e
-                        heapq.heappush(heap, (new, y))
-            if far[sink] == math.inf:
-                return
-            potential = [p + (f if f < math.inf else 0) for p, f in zip(potential, far, strict=True)]
-            path, y = [], sink
-            while y != source:
-                path.append(came[y])
-                y = self.to[came[y] ^ 1]
-            most = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= most
-                self.room[e ^ 1] += most
+                own = self.out[x]
+                while tried[x] < len(own) and not (self.room[own[tried[x]]] > 0 and far[self.to[own[tried[x]]]] == far[x] + 1):
+                    tried[x] += 1
+                if tried[x] < len(own):
+                    path.append(own[tried[x]])
+                    x = self.to[path[-1]]
+                elif path:
+                    x = self.to[path.pop() ^ 1]
+                    tried[x] += 1
+                else:
+                    break
 
 
 def route(patterns: Sequence[tuple[frozenset, int]], quotas: dict, repeats: int) -> list[dict]:
     """Words that each pattern (its sources, its words) gives to each source; at most ``repeats`` times its words."""
-    names = list(quotas)
-    at = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
-    net, uses = Flow(2 + len(patterns) + len(names)), []
+    at = {s: 2 + len(patterns) + i for i, s in enumerate(quotas)}
+    net, copies, uses = Flow(2 + len(patterns) + len(at)), [], []
     for i, (members, words) in enumerate(patterns):
-        for r in range(repeats):
-            net.arc(0, 2 + i, words, r)
-        uses.append({s: net.arc(2 + i, at[s], words * repeats, 0) for s in sorted(members & set(names), key=names.index)})
-    for s in names:
-        net.arc(at[s], 1, quotas[s], 0)
-    net.run(0, 1)
+        copies.append(net.arc(0, 2 + i, 0))
+        uses.append({s: net.arc(2 + i, at[s], words * repeats) for s in sorted(members & at.keys(), key=at.__getitem__)})
+    for s, quota in quotas.items():
+        net.arc(at[s], 1, quota)
+    for _ in range(repeats):
+        for e, (_, words) in zip(copies, patterns, strict=True):
+            net.room[e] += words
+        net.run(0, 1)
     return [{s: net.room[e ^ 1] for s, e in use.items() if net.room[e ^ 1]} for use in uses]
 
 
@@ -117,6 +131,7 @@ def mix_sources(
     weights: dict | None = None,
     source: str = "source",
     carry: Sequence[str] = (),
+    most_patterns: int = MOST_PATTERNS,
 ) -> DataFrame:
     """How many words of each row of docs (doc_id, text, source) the mix takes.
 
@@ -130,25 +145,24 @@ def mix_sources(
     need(docs, "doc_id", "text", source, *carry)
     spark = docs.sparkSession
     many = docs.schema[source].dataType.typeName() == "array"
-    members = F.array_sort(F.array_distinct(F.col(source))) if many else F.array(F.col(source))
+    members = F.array_sort(F.array_distinct(F.col(source).cast("array<string>"))) if many else F.array(F.col(source).cast("string"))
     members = F.when(F.coalesce(F.size(members), F.lit(0)) > 0, members).otherwise(F.array(F.lit(None).cast("string")))
     slim = written(
         docs.select(
             "doc_id",
             F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            # a key that tells null from any text
-            F.concat_ws("\x1f", F.transform(members, lambda m: F.coalesce(F.concat(F.lit("="), m), F.lit("-")))).alias("pattern"),
+            F.to_json(members).alias("pattern"),
             # 60 bits of a hash that SQL engines share
             F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long").alias("place"),
             *(F.col(c).alias(f"carried_{c}") for c in carry),
         ),
         "mix-sizes",
     )
-    found = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns")
     found.sort(key=lambda r: r["pattern"])
-    names_of = {r["pattern"]: [m[1:] if m[0] == "=" else None for m in r["pattern"].split("\x1f")] for r in found}
+    names_of = {r["pattern"]: json.loads(r["pattern"]) for r in found}
     sizes: dict = {}
     for r in found:
         for s in names_of[r["pattern"]]:
@@ -166,7 +180,8 @@ def mix_sources(
         (r["pattern"], sum(sizes[s] for s in names_of[r["pattern"]]), float(sum(targets[s] for s in names_of[r["pattern"]])), *divmod(sum(g.values()), max(1, r["words"])))
         for r, g in zip(found, given, strict=True)
     ]
-    plans = F.broadcast(spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, extra long"))
+    small = F.broadcast if len(found) <= BROADCAST_PATTERNS else lambda df: df
+    plans = small(spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, extra long"))
     bucket = F.shiftright("place", 60 - bits)
     slim = slim.withColumn("bucket", bucket)
     so_far = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,8 +192,7 @@ def mix_sources(
         .groupBy("pattern")
         .agg(F.min("bucket").alias("cut"), F.min_by("before", "bucket").alias("before"))
     )
-    # One row a pattern: bounded by MAX_PATTERNS like the plan.
-    placed = slim.join(plans, "pattern").join(F.broadcast(cuts), "pattern", "left")
+    placed = slim.join(plans, "pattern").join(small(cuts), "pattern", "left")
     own = ["doc_id", "size", "source_size", "target", *(F.col(f"carried_{c}").alias(c) for c in carry)]
     inside = placed.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
     inside = inside.select(*own, (F.col("size") * (F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0))).alias("taken"))
