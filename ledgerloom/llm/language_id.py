@@ -6,7 +6,8 @@ Landmark texts span the Nyström approximation, one ridge regression a language
 against the rest is solved on a bounded labelled sample, and new texts are
 scored in batches: (presence x landmarks) x weights. Long texts go through in
 pieces of PIECE letters and gaps, whose scores are averaged, so that presence
-does not saturate.
+does not saturate. Letters beyond a-z share 37 codes by a hash of the code point,
+so scripts of many letters are told apart by which of those occur together.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; repeated rows are predicted alike; clashing columns lang_pred and score are

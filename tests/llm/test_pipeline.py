@@ -10,7 +10,7 @@ def test_stage_order():
 
 @needs_data
 def test_stages_against_their_operators(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 260").localCheckpoint()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 260").cache()
     good = P.quality(spark, docs, SF)
     assert good.columns == P.COLUMNS and 180 < good.count() < 260
     spoken = P.language(spark, good, SF)
@@ -18,17 +18,30 @@ def test_stages_against_their_operators(spark):
     once = P.near_copies(spark, docs, SF)
     want = {i for i, (_, c) in brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).items() if i == c}
     assert once.columns == P.COLUMNS and {r.doc_id for r in once.collect()} == want
-    mixed = P.mixing(spark, docs, SF).localCheckpoint()
+    mixed = P.mixing(spark, docs, SF).cache()
     assert mixed.columns == P.COLUMNS
-    taken = {r.doc_id: r.taken for r in P.mix_sources(docs).collect()}
-    words = {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    copies = {r.doc_id: int(r.taken / r.size + 0.5) for r in P.mix_sources(docs).collect() if r.taken}
+    found = {}
     for r in mixed.collect():
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-    assert words == {i: t for i, t in taken.items() if t}
+        assert r.text == texts[r.doc_id]
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {i: n for i, n in copies.items() if n}
     packed = P.packing(spark, docs, SF)
     check_pieces(packed.collect(), {r.doc_id: r.text for r in docs.collect()}, 2048)
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    """One row a group whatever its id; different texts under one id, or under none, all stay."""
+    words = [f"w{i}" for i in range(200)]
+    near, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::3])
+    rows = [(1, near), (1, other), (1, near), (2, near + " more"), (None, third), (None, third + " x"), (None, other + " y"), (3, third), (None, "few words"), (None, "few others"), (4, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in P.near_copies(spark, docs, "").collect())
+    want = [(1, near), (1, other), (3, third), (None, "few words"), (None, "few others"), (4, None), (None, None)]
+    assert out == sorted((i is None, i or 0, t or "") for i, t in want)
+
+
 @needs_data
 def test_stages_on_odd_rows(spark):
     docs = odd_docs(spark)

@@ -1,4 +1,5 @@
 import collections
+import html.parser
 import os
 import re
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fragments, html_text, ngram_join, quality_rules
+from ledgerloom.llm import fragments, html_text, language_id, ngram_join, quality_classifier, quality_rules
 from ledgerloom.llm import queries as Q
 from ledgerloom.llm import textkernel as K
 from ledgerloom.llm.language_id import fit_language_id, identify_languages
@@ -153,12 +154,26 @@ def test_quality_rules_on_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     kept = [(x.quality, got[x.doc_id].kept) for x in labels if not got[x.doc_id].base_failed]
     assert np.mean([q == k for q, k in kept]) > 0.97
-    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150).collect()
-    for t in texts:
+    for t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
         r = got[t.doc_id]
         assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == brute_statistics(t.text)
 
 
+def test_trees_against_walking_them():
+    """Scores of flattened trees are those of following every row node by node."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, len(quality_rules.FEATURES)))
+    model = quality_rules.fit_trees(x, (x[:, 1] > 0.4).astype(float), rounds=12)
+    for row, margin in zip(x[:50], model.margin(x[:50]), strict=True):
+        total = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(total - margin) < 1e-9
+
+
 def test_quality_rules_edge_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(5, 1), (6, 0), (6, 0), (None, 1), (5, None)], "doc_id long, quality int")
@@ -176,6 +191,59 @@ def test_quality_classifier_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
 
 
+def brute_pooled(vectors, text):
+    """Means of the vectors of a text's words and forms, word by word."""
+    size, pooled = vectors.size, np.zeros(2 * vectors.size)
+    found = words(text)
+    for i, w in enumerate(found):
+        buf = np.frombuffer(w.encode(), np.uint8)
+        key = K.words_of(buf)[2]
+        at = np.flatnonzero(vectors.keys == key[0])
+        pooled[:size] += vectors.words[at[0]] if len(at) else quality_classifier.index_vectors(key, size)[0]
+        recent = w.encode() in [x.encode() for x in found[max(0, i - 6) : i]]
+        line = " ".join([w] * (2 if recent else 1)).encode()
+        buf = np.frombuffer(line, np.uint8)
+        starts, ends, hashes = K.words_of(buf)
+        pooled[size:] += vectors.forms[quality_classifier.word_forms(buf, starts, ends, hashes, np.array([0, len(hashes)]))[-1]]
+    pooled[:size] /= len(found) + quality_classifier.SHRINK
+    pooled[size:] /= max(1, len(found))
+    return pooled
+
+
+def brute_context(texts, word, size):
+    """The sum of the index vectors around a word, over all its places."""
+    total = np.zeros(size)
+    for text in texts:
+        found = words(text)
+        for i, w in enumerate(found):
+            for j in range(max(0, i - 2), min(len(found), i + 3)):
+                if w == word and j != i:
+                    spots, signs = quality_classifier.index_parts(K.words_of(np.frombuffer(found[j].encode(), np.uint8))[2], size)
+                    np.add.at(total, spots[0], signs[0])
+    return total
+
+
+@needs_data
+def test_word_vectors_against_brute_force(spark):
+    """Contexts and pooled vectors of fifty documents, word by word."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000 AND text IS NOT NULL").orderBy("doc_id").limit(50).collect()]
+    raw = [t.encode() for t in texts]
+    vectors = quality_classifier.Vectors(quality_classifier.vocabulary(raw), 32)
+    texts_with = collections.Counter(w for t in texts for w in set(words(t)))
+    known = [w for w, n in texts_with.items() if n >= quality_classifier.LEAST_TEXTS]
+    assert len(vectors.keys) == len(known)
+    vectors.learn(raw)
+    for word in known[:10]:
+        key = K.words_of(np.frombuffer(word.encode(), np.uint8))[2]
+        context = brute_context(texts, word, 32)
+        want = quality_classifier.index_vectors(key, 32)[0] + context / max(np.linalg.norm(context), 1e-9)
+        assert np.allclose(vectors.words[vectors.place(key)[0]], want, atol=1e-5)
+    more = ["", "a", "never seen before never"]
+    pooled, n = vectors.pooled([*raw, *(t.encode() for t in more)])
+    for text, row, count in zip([*texts, *more], pooled, n, strict=True):
+        assert count == len(words(text)) and np.allclose(row, brute_pooled(vectors, text), atol=1e-4)
+
+
 def test_quality_classifier_edge_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, quality int")
@@ -202,6 +270,31 @@ def test_language_id_learns_whole_texts(spark):
     assert names == ["de", "en", "en"] and min(scores) > 0.6
 
 
+@needs_data
+def test_language_kernel_against_sets(spark):
+    """Kernels of fifty documents with the landmarks, and predictions, from sets of n-grams."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 6000 AND lang IS NOT NULL").select("doc_id", "text", "lang").orderBy("doc_id").limit(50)
+    model = fit_language_id(rows, landmarks=12)
+
+    def gram_set(codes):
+        return {tuple(codes[i : i + n]) for n in (1, 2, 3) for i in range(len(codes) - n + 1)}
+
+    numbers = {}
+    for a in range(64):
+        for grams in ((a,), *((a, b) for b in range(64)), *((a, b, c) for b in range(64) for c in range(64))):
+            numbers[grams] = int(language_id.grams(np.array(grams, np.uint8))[len(grams) - 1][0])
+    marks = [np.flatnonzero(model.landmarks[:, i]) for i in range(model.landmarks.shape[1])]
+    for r in rows.collect():
+        parts = language_id.pieces(language_id.coded(r.text.encode()))
+        got = model.kernel(parts)
+        for part, kernels in zip(parts, got, strict=True):
+            own = {int(model.column[numbers[g]]) for g in gram_set(part.tolist())} - {0}
+            want = [len(own & set(m.tolist())) / max(1, len(own)) ** 0.5 / len(m) ** 0.5 for m in marks]
+            assert np.allclose(kernels, want, atol=1e-4)
+        value = sum(len(p) * (k @ model.weights) for p, k in zip(parts, got, strict=True))
+        assert model.predict([r.text.encode()])[0] == [model.languages[int(np.argmax(value))]]
+
+
 def test_language_id_edge_rows(spark):
     more = ["das ist ein kurzer deutscher text über nichts", "this is a short english text about nothing"] * 6
     rows = [(100 + i, t, "de" if i % 2 == 0 else "en") for i, t in enumerate(more)]
@@ -260,7 +353,9 @@ def test_html_short_rest_after_an_interruption():
 
 def test_html_line_blocks():
     long = "x" * 90
-    assert html_text.spans([0, 0, 90, 5, 0, 0, 0, 0, 100], 80) == [(0, 4), (6, 9)]
+    assert html_text.spans([0, 0, 90, 5, 0, 0, 0, 0, 100], [False] * 9) == [(0, 4), (6, 9)]
+    assert html_text.spans([50, 0, 0, 0, 90, 0, 0, 0, 5], [False] * 9) == [(2, 5), (6, 9)]  # no surge in the first window
+    assert html_text.spans([50, 0, 0, 0, 90], [True] * 5) == [(0, 5)]
     menu = "".join(f"<p><a href=x>menu entry number {i} is long</a></p>" for i in range(6))
     page = f"<body>{menu}<p>{long}</p><p>tiny</p><p>{long}</p>{menu}</body>"
     assert html_text.main_text(page) == f"{long}\n\ntiny\n\n{long}"
@@ -273,15 +368,52 @@ def test_html_extraction_rows(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+class Blocks(html.parser.HTMLParser):
+    """A page's text blocks by another parser: what lies in nav, footer, an advert, script, style or title is left out."""
+
+    OUT = {"nav", "footer", "script", "style", "title"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "div", "article", "br"):
+            self.blocks.append("") if tag != "br" else self.handle_data(" ")
+        if tag in self.OUT or tag == "div":
+            self.open.append((tag, tag in self.OUT or ("class", "ad") in attrs))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "div", "article", "nav", "footer"):
+            self.blocks.append("")
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not any(out for _, out in self.open):
+            self.blocks[-1] += data
+
+    def text(self, page):
+        self.feed(page or "")
+        self.close()
+        found = (" ".join(b.split()) for b in self.blocks)
+        return "\n\n".join(b for b in found if b)
+
+
 @needs_data
 def test_html_extraction_of_pages(spark):
-    import html
-
+    """All pages against another parser; and again with <article> renamed, so that nothing marks the text."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in Q.op3_html_extraction(spark, SF).collect():
-        body = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
-        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == Blocks().text(pages[r.page_id]) and r.n_chars == len(r.text)
+        plain = re.sub(r"<(/?)article>", r"<\1div>", pages[r.page_id])
+        assert html_text.main_text(plain) == r.text
+
+
+def test_html_nesting_takes_linear_time():
+    n = 100_000
+    assert html_text.main_text("<div>" * n + "deep text" + "</div>" * n) == "deep text"
+    assert html_text.main_text("<b class=x><table>" + "<div class=menu>" * n + "</b>" * n + "menu") == ""
 
 
 def test_residue(spark):
