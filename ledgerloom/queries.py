@@ -22,7 +22,7 @@ from ledgerloom.operators import merge as M
 from ledgerloom.operators.ledger import build_ledger, default_trust, extract, field_trust, source_log
 from ledgerloom.plans.json_text import json_text
 from ledgerloom.plans.projection import project, project_json
-from ledgerloom.sources.adapters import draft, education, experience
+from ledgerloom.sources.adapters import draft, education, experience, registry
 from ledgerloom.sources.manifests import latest_of, read_documents, read_manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +257,7 @@ def q_json_sandbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("candidate_id"), e.cast("long").alias("pos"), F.when(e % 7 == 0, "fax").otherwise("github_api").alias("type"), F.lit("p").alias("path"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("double").alias("trust"), content.alias("content")
     )
-    return source_log(extract(documents)).select("candidate_id", "pos", "ok", "error", "claims")
+    return source_log(extract(documents, registry("github_api"))).select("candidate_id", "pos", "ok", "error", "claims")
 
 
 @query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '\\n\\"q\\"","total":' ||
@@ -363,9 +363,8 @@ def q_src_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS type, count(*)::BIGINT AS skipped, min('unknown source type ''' || event_type || '''') AS error FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY event_type""")
 def q_unknown_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.sources.adapters import registry
-
-    known = {"click": registry()["recruiter_notes"], "view": registry()["resume"]}
+    made = registry("recruiter_notes", "resume")
+    known = {"click": made["recruiter_notes"], "view": made["resume"]}
     null = lambda kind: F.lit(None).cast(kind)
     documents = table(spark, sf_dir, "events").select(F.lit("x").alias("candidate_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("type"), F.lit("p").alias("path"), null("string").alias("timestamp"), null("double").alias("trust"), F.lit("text").alias("content"))
     failed = source_log(extract(documents, known)).where(~F.col("ok"))
@@ -381,11 +380,11 @@ def _documents(spark: SparkSession, sf_dir: str, kind: str, content: Column) ->
     return rows.select(F.col("key").alias("candidate_id"), F.lit(0).alias("pos"), F.lit(kind).alias("type"), F.lit("p").alias("path"), F.lit("2026-01-01").alias("timestamp"), F.lit(None).cast("double").alias("trust"), content.alias("content"))
 
 
-def _claims(documents: DataFrame) -> DataFrame:
+def _claims(documents: DataFrame, kind: str) -> DataFrame:
     value = F.coalesce("value_str", F.col("value_num").cast("string"), F.concat_ws("|", *(F.coalesce(f"value_exp.{a}", F.lit("-")) for a in ("company", "title", "start", "end", "summary"))), F.lit("-"))
     studied = F.concat_ws("|", *(F.coalesce(F.col(f"value_edu.{a}").cast("string"), F.lit("-")) for a in ("institution", "degree", "field", "end_year")))
     value = F.when(F.col("value_edu").isNotNull(), studied).when(F.col("value_exp").isNotNull() | F.col("value_str").isNotNull() | F.col("value_num").isNotNull(), value)
-    return build_ledger(extract(documents)).select("candidate_id", "claim_seq", "field_path", value.alias("value"), "method", "trust")
+    return build_ledger(extract(documents, registry(kind))).select("candidate_id", "claim_seq", "field_path", value.alias("value"), "method", "trust")
 
 
 def _claims_sql(kind: str, items: list[tuple[str, str, str]]) -> str:
@@ -404,7 +403,7 @@ def _claims_sql(kind: str, items: list[tuple[str, str, str]]) -> str:
 )
 def q_adapter_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit("Name,EMAIL ,phone,current_company,title,location\n\n"), "c_name", F.lit(" ,U"), "key", F.lit('@X.org,"'), (F.col("c_custkey") + 4000000000).cast("string"), F.lit('",'), "c_mktsegment", F.lit(',,"'), "n_name", F.lit(" City, "), "c_mktsegment", F.lit('"\nnext,row'))
-    return _claims(_documents(spark, sf_dir, "recruiter_csv", content))
+    return _claims(_documents(spark, sf_dir, "recruiter_csv", content), "recruiter_csv")
 
 
 @query(
@@ -419,7 +418,7 @@ def q_adapter_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"candidateName":"","fullName":"'), "c_name", F.lit('","emails":["U'), "key", F.lit('@x.org","nope",null],"phone":4155550142,"headline":" '), "c_mktsegment", F.lit(' ","yoe":'), (F.col("c_custkey") % 50).cast("string"),
         F.lit(',"geo":{"town":"'), "n_name", F.lit('"},"skillTags":["golang",3,"'), "c_mktsegment", F.lit('"],"links":["https://x.org/'), "key", F.lit('"]}'),
     )
-    return _claims(_documents(spark, sf_dir, "ats_json", content))
+    return _claims(_documents(spark, sf_dir, "ats_json", content), "ats_json")
 
 
 @query(
@@ -431,7 +430,7 @@ def q_adapter_ats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_adapter_github(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit('{"name":"'), "c_name", F.lit('","login":'), "key", F.lit(',"bio":7,"blog":"https://linkedin.com/'), "key", F.lit('","location":"'), "n_name", F.lit(', USA","languages":"js"}'))
-    return _claims(_documents(spark, sf_dir, "github_api", content))
+    return _claims(_documents(spark, sf_dir, "github_api", content), "github_api")
 
 
 @query(
@@ -446,7 +445,7 @@ def q_adapter_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"name":"'), "c_name", F.lit('","profileUrl":" https://l/'), "key", F.lit('","experience":[{"company":"'), "c_mktsegment", F.lit('","title":"Boss","start":"Jun 2017","end":""},5],"education":{"school":"'), "n_name",
         F.lit('","institution":"no","degree":"BSc","end_year":2017},"skills":["k8s"," "]}'),
     )
-    return _claims(_documents(spark, sf_dir, "linkedin", content))
+    return _claims(_documents(spark, sf_dir, "linkedin", content), "linkedin")
 
 
 @query(
@@ -460,7 +459,7 @@ def q_adapter_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(
         F.lit("\n Ann Example \nU"), "key", F.lit("@x.org, 0049 151 12345678\nSkills:\nold\nEXPERIENCE\n• Boss, "), "c_mktsegment", F.lit(" (2021-03 to present)\nnothing\nEducation\nBSc in Maths, "), "n_name", F.lit(", 2017\nTechnical Skills\n- golang / "), "c_mktsegment", F.lit("."),
     )
-    return _claims(_documents(spark, sf_dir, "resume", content))
+    return _claims(_documents(spark, sf_dir, "resume", content), "resume")
 
 
 @query(
@@ -471,7 +470,7 @@ def q_adapter_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_adapter_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit("Write to U"), "key", F.lit("@x.org. Backup 415-555-0199 and 12345678901234567890. Expertise in "), "c_mktsegment", F.lit(" and the Kafka.! Skills: none"))
-    return _claims(_documents(spark, sf_dir, "recruiter_notes", content))
+    return _claims(_documents(spark, sf_dir, "recruiter_notes", content), "recruiter_notes")
 
 
 # ---- reductions ----
@@ -785,7 +784,7 @@ def q_observed_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda pos, kind, given, trust, content: customers.select(k.cast("string").alias("candidate_id"), F.lit(pos).alias("pos"), F.lit(kind).alias("type"), F.lit("p").alias("path"), given.cast("string").alias("timestamp"), trust.cast("double").alias("trust"), content.alias("content"))
     first = entry(0, "recruiter_notes", F.lit("2020"), F.lit(None), F.when(k % 2 == 1, "nothing"))
     second = entry(1, "recruiter_notes", stamp, F.when(k % 4 == 0, F.col("c_acctbal")), F.lit("mail me: a@b.org"))
-    return build_ledger(extract(first.unionByName(second))).select("candidate_id", "observed_at", "trust", "src_order")
+    return build_ledger(extract(first.unionByName(second), registry("recruiter_notes"))).select("candidate_id", "observed_at", "trust", "src_order")
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN 7.0 END::DOUBLE AS trust FROM events""")
@@ -906,6 +905,7 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     return folder, manifests
 
 
+_FILED = ("github_api", "recruiter_notes", "resume", "ats_json")
 _MANIFEST_SQL = """m AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'unknown' ELSE 'c' || n_nationkey END AS candidate_id FROM nation), e AS (
   SELECT candidate_id, k, n_name, unnest([0, 1, 2, 3]) AS pos, unnest(['github_api', 'recruiter_notes', 'resume', 'ats_json']) AS type, unnest(['profile_' || k || '.json', './notes_' || k || '.txt', 'absent_' || k || '.txt', 'broken_' || k || '.json']) AS path,
     unnest(['2026-06-22', NULL, 'null', '2026.0']) AS timestamp, unnest([0.25, NULL, NULL, NULL])::DOUBLE AS trust FROM m)"""
@@ -924,7 +924,7 @@ def q_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files found by the manifests' paths, and what became of each source."""
     folder, manifests = _files(spark, sf_dir)
     documents = read_documents(spark, read_manifests(spark, manifests), folder)
-    return extract(documents).select("candidate_id", "pos", "type", "content", "error")
+    return extract(documents, registry(*_FILED)).select("candidate_id", "pos", "type", "content", "error")
 
 
 @query(
@@ -936,7 +936,7 @@ def q_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_manifest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of files on disk: a trust that is no number and a date that isn't there have their defaults."""
     folder, manifests = _files(spark, sf_dir)
-    ledger = build_ledger(extract(read_documents(spark, read_manifests(spark, manifests), folder)))
+    ledger = build_ledger(extract(read_documents(spark, read_manifests(spark, manifests), folder), registry(*_FILED)))
     return ledger.select("candidate_id", "source_id", "field_path", F.col("value_str").alias("value"), "trust", "observed_at")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -309,6 +310,18 @@ def _notes() -> Adapter:
     return Adapter([_found_stages("notes") | {"notes_skills": P.phrase_skills(F.col("content"))}], drafts, F.lit(None).cast("string"))
 
 
-def registry() -> dict[str, Adapter]:
-    """The adapters by source type (built on demand: Columns need a session)."""
-    return {"recruiter_csv": _csv(), "ats_json": _ats(), "github_api": _github(), "linkedin": _linkedin(), "resume": _resume(), "recruiter_notes": _notes()}
+_MAKERS: dict[str, Callable[[], Adapter]] = {"recruiter_csv": _csv, "ats_json": _ats, "github_api": _github, "linkedin": _linkedin, "resume": _resume, "recruiter_notes": _notes}
+_made: dict[tuple[int, str], Adapter] = {}
+
+
+def registry(*kinds: str) -> dict[str, Adapter]:
+    """The adapters of the given source types, or of all, by type.
+
+    Building one takes thousands of calls to the JVM, more time than small
+    tables take to read; so only those asked for are built, once a JVM.
+    """
+    jvm = id(SparkContext._gateway)
+    for kind in kinds or _MAKERS:
+        if (jvm, kind) not in _made:
+            _made[jvm, kind] = _MAKERS[kind]()
+    return {kind: _made[jvm, kind] for kind in kinds or _MAKERS}
