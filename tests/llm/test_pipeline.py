@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from ledgerloom.llm import mixing, ngram_join, packing, quality_rules
 from ledgerloom.llm import queries as Q
 from tests.llm.test_set_operators import check_pieces
 from tests.llm.test_text_operators import SF, brute_components, needs_data, odd_docs
@@ -55,3 +58,22 @@ def test_stages_on_odd_rows(spark):
 
 def test_oracles_have_queries():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
+
+
+def test_operators_ignore_columns_named_like_their_own(spark):
+    """Input columns that clash with an operator's results change nothing."""
+    import public_tokenizers
+
+    docs = odd_docs(spark).select("doc_id", "text", "source")
+    clash = docs
+    for name in ("n_shingles", "component_id", "class", "key", "start", "length", "offset", "ids", "place", "size", "taken", "target", "pattern", "held_out", "features"):
+        clash = clash.withColumn(name, F.lit("x"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    for run in (
+        lambda d: ngram_join.jaccard_components(d, 4, 85, 100),
+        lambda d: packing.pack_documents(d, tokenizer).drop("sequence_id", "offset"),
+        lambda d: mixing.mix_sources(d),
+        lambda d: quality_rules.document_statistics(d).drop("features"),
+    ):
+        rows = [sorted(map(str, run(d).collect())) for d in (docs, clash)]
+        assert rows[0] == rows[1]
