@@ -32,12 +32,17 @@ class Report:
     def ledger_sizes(self) -> DataFrame:
         return self.ledger.groupBy("candidate_id").agg(F.count("*").alias("claims"))
 
+    def release(self) -> None:
+        """Lets go of the kept ledger, once nothing more is read from the report."""
+        self.ledger.unpersist()
+
 
 def run_documents(documents: DataFrame, config: Mapping[str, Any] | None = None, adapters: dict[str, Adapter] | None = None, partitions: int | None = None, pretty: bool = False) -> Report:
     """A run over documents (candidate_id, pos, type, path, timestamp, trust, content) of any number of candidates.
 
     The ledger is dealt by candidate once (to ``partitions``, else the
-    session's shuffle partitions) and kept, so no reduction exchanges it again.
+    session's shuffle partitions) and kept until the report is released, so no
+    reduction exchanges it again.
     """
     extracted = extract(documents, adapters)
     n = partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -91,11 +96,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             raise
         print(f"input error: manifest is not a JSON object: {args.manifest}", file=sys.stderr)
         return 2
+    if args.explain and not row["projection_error"]:
+        explain(report, row["validation_errors"])
+    report.release()
     if row["projection_error"]:
         print(f"projection/validation error: {row['projection_error']}", file=sys.stderr)
         return 2
-    if args.explain:
-        explain(report, row["validation_errors"])
     if args.out:
         with open(args.out, "w", encoding="utf-8") as f:
             f.write(row["output"] + "\n")
