@@ -878,7 +878,11 @@ def q_pruned_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     """A folder with a manifest and documents of every nation; its path and the manifests'."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file:{tempfile.mkdtemp(prefix='ledgerloom-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file:{tempfile.mkdtemp(prefix='ledgerloom-')}"
     folder = f"{root.rstrip('/')}/manifests-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs
     manifests = []
