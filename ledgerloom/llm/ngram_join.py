@@ -11,13 +11,15 @@
 4. Buckets whose members already are one component are done. A set leaves out
    its largest others (passages that many texts share), as many as its size
    allows: fragments enough remain. In what is left all pairs of different
-   components are held against the sketch, in blocks within a task; those that
-   share as many fragments as similar sets must are verified. So no link between
-   different components is lost, and groups of near copies aren't expanded into
-   pairs.
+   components are held against the sketch, in blocks within a task. Tasks name
+   the members that have a pair left, not the pairs.
+5. The whole sets of those meet by the lowest member of their buckets, in blocks
+   again: overlaps are counted within the task, and only links that join what
+   isn't joined there yet leave it. So no link between different components is
+   lost, and groups of near copies aren't expanded into pairs.
 
 Texts never move. One pass hashes them and writes each class's sketch and
-fragment hashes to the shared folder; verification reads them again, for the
+fragment hashes to the shared folder; steps 3 and 5 read them again, for the
 documents that a bitmap of bounded size asks for. Scratch tables go as soon as
 they are used up.
 Sets are identified by 64-bit hashes (chance of two different sets among n
@@ -50,6 +52,8 @@ PARTS = 8
 FEW = 32
 #: Members of a bucket that meet in one block.
 BLOCK = 1024
+#: N-grams of the sets that meet in one block, about.
+GRAMS = 1 << 19
 #: Rows of buckets of one lowest member that go to one task, about.
 ROWS_A_TASK = 8192
 #: Lowest members with more rows than that, which are broadcast, at most.
@@ -202,23 +206,22 @@ def _fragment_rows(rows: DataFrame, wanted: Bitmap, places: int) -> DataFrame:
     return rows.where(F.octet_length("sigs") > 0).select("sigs", "class").mapInArrow(run, "sig long, class long")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k: int, p: int, q: int) -> DataFrame:
-    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked, written: partial overlaps by fragment, summed per pair.
+def _sets_of(docs: DataFrame, classes: DataFrame, asked: DataFrame, rows: int, k: int, parts: int) -> DataFrame:
+    """(class, part, grams) of the classes in ``asked``, written: their sorted n-grams, cut into ``parts`` (a power of two) by value.
 
     classes: class, key (of one of its documents). rows: about how many documents there are.
     """
-    pairs = written(pairs, "pairs", rows)
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "key"), "class"), "asked", rows)
+    asked = written(asked.join(classes.select("class", "key"), "class"), "asked", rows)
     count = asked.count()
     wanted = docs.sparkSession.sparkContext.broadcast((bitmap_of(asked.select("key"), count), bitmap_of(asked.select("class"), count)))
 
-    def run(parts: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         keys, sets = wanted.value
-        edges = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(65 - PARTS.bit_length())
+        edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(65 - parts.bit_length())
         seen: set[int] = set()
-        for part in (x for whole in parts for x in _slices(whole)):
+        for part in (x for whole in batches for x in _slices(whole)):
             part = part.filter(pa.array(keys.has(part.column(1).to_numpy())))
             cls, piece, grams = [], [], []
             for s in K.shingle_sets(K.utf8_list(part.column(2)), k):
@@ -238,6 +241,13 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k
     pieces = written(pieces.dropDuplicates(["class", "part"]), "pieces", count)
     forget(asked)
     release(docs.sparkSession)
+    return pieces
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, k: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b: classes, a < b, with sizes na and nb) that are linked, written: partial overlaps by fragment, summed per pair."""
+    pairs = written(pairs, "pairs", rows)
+    pieces = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), rows, k, PARTS)
     by_part = pairs.join(pieces.select(F.col("class").alias("a"), "part", F.col("grams").alias("grams_a")), "a")
     by_part = by_part.join(pieces.select(F.col("class").alias("b"), "part", F.col("grams").alias("grams_b")), ["b", "part"])
     partial = by_part.select("a", "b", "na", "nb", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("shared"))
@@ -309,17 +319,17 @@ def _large_pairs(rows: np.ndarray, sig, side, cls, comp, n, sketch: list, p: int
 
 
 def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b, times, needed) of different components within each (sig, block) that sizes and sketches don't rule out.
+    """Members (low, class, component, n) that form a pair of different components within some (sig, block) which sizes and sketches don't rule out.
 
-    times: in how many of a task's buckets; needed: in how many in all similar sets are.
+    Both members of a pair come with the same low. A task names a member once
+    a low, however many pairs it is in.
 
     members: sig, low, block, side (0 meets 1; 2 meets its like), class, component,
     n, sketch, salts. Near copies share many buckets, most with the same lowest
-    member: those go to one task, where a pair is named once, or to as many as
-    ``salts`` says.
+    member: those go to one task, or to as many as ``salts`` says.
     """
 
-    def pairs_of(numbers: np.ndarray, sketch: list) -> np.ndarray:
+    def members_of(numbers: np.ndarray, sketch: list) -> np.ndarray:
         cut = np.flatnonzero(np.concatenate(([True], (numbers[1:, :2] != numbers[:-1, :2]).any(1))))
         sizes = np.diff(np.append(cut, len(numbers)))
         side, cls, comp, n = numbers[:, 2], numbers[:, 3], numbers[:, 4], numbers[:, 5]
@@ -337,34 +347,32 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
             return np.zeros((0, 4), np.int64)
         a, b = cls[ij[:, 0]], cls[ij[:, 1]]
         ij[a > b] = ij[a > b][:, ::-1]
-        pair, first, times = np.unique(np.stack([cls[ij[:, 0]], cls[ij[:, 1]]], 1), axis=0, return_index=True, return_counts=True)
-        i, j = ij[first].T
-        near = [_apart(np.frombuffer(sketch[x], np.uint64), np.frombuffer(sketch[y], np.uint64)) <= most_apart(int(n[x]), int(n[y]), p, q) for x, y in zip(i, j, strict=True)]
-        return np.column_stack([pair, times, fragments.sure_to_share(n[i], n[j], p, q)])[np.array(near, bool)]
+        i, j = ij[np.unique(np.stack([cls[ij[:, 0]], cls[ij[:, 1]]], 1), axis=0, return_index=True)[1]].T
+        near = np.array([_apart(np.frombuffer(sketch[x], np.uint64), np.frombuffer(sketch[y], np.uint64)) <= most_apart(int(n[x]), int(n[y]), p, q) for x, y in zip(i, j, strict=True)], bool)
+        return np.unique(numbers[np.concatenate([i[near], j[near]])][:, [6, 3, 4, 5]], axis=0)
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, sketches = np.zeros((0, 6), np.int64), []
+        held, sketches = np.zeros((0, 7), np.int64), []
 
-        met: dict[tuple[int, int], list[int]] = {}
+        met: set[tuple[int, ...]] = set()
 
         def named() -> Iterator:
             if met:
-                a = np.array([[*pair, *found] for pair, found in met.items()], np.int64)
+                a = np.array(list(met), np.int64)
                 met.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(4)], ["a", "b", "times", "needed"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(4)], ["low", "class", "component", "n"])
 
         def batch(numbers: np.ndarray, sketch: list) -> Iterator:
             if len(numbers) > 1:
-                for a, b, times, needed in pairs_of(numbers, sketch).tolist():
-                    met.setdefault((a, b), [0, needed])[0] += times
+                met.update(map(tuple, members_of(numbers, sketch).tolist()))
                 if len(met) > 200_000:
                     yield from named()
 
         for part in parts:
-            held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:6]], 1)])
-            sketches += part.column(6).to_pylist()
+            held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:7]], 1)])
+            sketches += part.column(7).to_pylist()
             last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(1))  # the last bucket may go on
             done = int(last[-1]) + 1 if len(last) else 0
             yield from batch(held[:done], sketches[:done])
@@ -374,7 +382,76 @@ def _blocks(members: DataFrame, p: int, q: int) -> DataFrame:
 
     salted = members.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")))
     sorted_rows = salted.repartition("low", "salt", "block").sortWithinPartitions("low", "salt", "sig", "block")
-    return sorted_rows.select("sig", "block", "side", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long, times long, needed long")
+    return sorted_rows.select("sig", "block", "side", "class", "component", "n", "low", "sketch").mapInArrow(run, "low long, class long, component long, n long")
+
+
+def _joining(side: np.ndarray, comp: np.ndarray, sets: list, p: int, q: int) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that join all components which links within one block join: fewer than there are sets."""
+    comp, n = comp.copy(), np.array([len(s) for s in sets])
+    words = np.array([sketch_words(x) for x in n])
+    sketch = [sketch_of(s, w) for s, w in zip(sets, words, strict=True)]
+    out = []
+    for w in np.unique(words):
+        left = np.flatnonzero(words == w)
+        right = np.flatnonzero((words >= w) & (n * p <= n[left].max() * q))
+        bits = np.stack([np.unpackbits(folded(sketch[r], w).view(np.uint8)) for r in right]).astype(np.float32) * 2 - 1
+        for at in range(0, len(left), 128):
+            l = left[at : at + 128]  # noqa: E741
+            nl, nr = n[l][:, None], n[right]
+            apart = (bits.shape[1] - bits[np.searchsorted(right, l)] @ bits.T) / 2
+            ok = (apart <= most_apart(nl, nr, p, q)) & (np.minimum(nl, nr) * q >= np.maximum(nl, nr) * p) & (comp[l][:, None] != comp[right])
+            ok &= ((side[l] == 2)[:, None] | (side[l][:, None] != side[right])) & ((words[right] > w) | (l[:, None] < right))
+            i, j = np.nonzero(ok)
+            for x, y in zip(l[i].tolist(), right[j].tolist(), strict=True):
+                if comp[x] != comp[y] and fragments.linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]), p, q):
+                    comp[comp == comp[y]] = comp[x]
+                    out.append((x, y))
+    return out
+
+
+def _block_links(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) that join all components which links within each (low, block) join.
+
+    rows: low, block, side (0 meets 1; 2 meets its like), class, component, grams.
+    """
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, sets = np.zeros((0, 5), np.int64), []
+
+        def block(numbers: np.ndarray, own: list) -> Iterator:
+            ij = np.array(_joining(numbers[:, 2], numbers[:, 4], own, p, q), np.int64).reshape(-1, 2) if len(own) > 1 else ()
+            if len(ij):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[ij[:, 0], 3]), pa.array(numbers[ij[:, 1], 3])], ["a", "b"])
+
+        for part in (x for whole in parts for x in _slices(whole)):
+            held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in part.columns[:5]], 1)])
+            sets += [x.values.to_numpy().view(np.uint64) for x in part.column(5)]
+            cut = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(1)) + 1  # the last block may go on
+            for start, end in zip([0, *cut[:-1]], cut, strict=False):
+                yield from block(held[start:end], sets[start:end])
+            if len(cut):
+                held, sets = held[cut[-1] :], sets[cut[-1] :]
+        yield from block(held, sets)
+
+    return rows.repartition("low", "block").sortWithinPartitions("low", "block").select("low", "block", "side", "class", "component", "grams").mapInArrow(run, "a long, b long")
+
+
+def _meetings(spread: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each row with block and side, once a block in which it meets others: classes are dealt to ``blocks``, and each pair of those meets once.
+
+    Two classes of one bucket (or low) meet in one block: at side 2, or at 0 and 1.
+    """
+    dealt = spread.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    meet = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(
+            (F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))).alias("block"),
+            F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"),
+        ),
+    )
+    return dealt.select(*columns, F.explode(meet).alias("at")).select(*columns, "at.block", "at.side")
 
 
 def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -431,22 +508,20 @@ def link_classes(docs: DataFrame, hashed: DataFrame, k: int, p: int, q: int) ->
     salts = written(members.groupBy("low").agg(F.ceil(F.count("*") / ROWS_A_TASK).alias("more")).where("more > 1"), "salts", n_docs)
     if salts.count() <= BROADCAST_ROWS:
         salts = F.broadcast(salts)
-    spread = members.join(salts, "low", "left").withColumn("salts", F.coalesce("more", F.lit(1))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(
-            (F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own"))).alias("block"),
-            F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1).alias("side"),
-        ),
-    )
-    laid = spread.select("sig", "low", "salts", F.explode(meet).alias("at"), "class", "component", "n", "sketch").select("sig", "low", "salts", "at.block", "at.side", "class", "component", "n", "sketch")
-    met = _blocks(laid, p, q).groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("needed").alias("needed"))
-    more = written(met.where("times >= needed").select("a", "b").join(star, ["a", "b"], "left_anti"), "met", 4 * n_docs)
+    spread = members.join(salts, "low", "left").withColumn("salts", F.coalesce("more", F.lit(1))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    laid = _meetings(spread, "sig", "low", "salts", "class", "component", "n", "sketch")
+    named = written(_blocks(laid, p, q).distinct(), "named", 4 * n_docs)
     forget(members, rows, first)
     release(spark)
-    found = verified(docs, classes, near(more), n_docs, k, p, q)
+    # The whole sets of the members named meet by their lowest member, in blocks that a task can hold.
+    whole = _sets_of(docs, classes, named.select("class").distinct(), n_docs, k, 1)
+    cuts = named.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS)).cast("int").alias("blocks"))
+    found = _meetings(named.join(cuts, "low"), "low", "class", "component").join(whole.select("class", "grams"), "class")
+    found = written(_block_links(found, p, q), "joins", n_docs)
+    forget(named, whole)
+    release(spark)
     out = connected_components(links.unionByName(found), n_docs)
-    forget(links, found, more, classes, *scratch)
+    forget(links, found, classes, *scratch)
     return out
 
 

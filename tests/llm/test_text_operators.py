@@ -114,6 +114,78 @@ def test_ngram_join_blocks_of_large_buckets(spark, monkeypatch):
     assert got == brute_components(list(enumerate(texts)), 4, 85, 100)
 
 
+def near_and_far(near, far):
+    """``near`` texts that all link with each other, then the lowest and the highest classes (``far`` each), which link with none of those."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(i, words):
+        t = list(base)
+        for j, at in enumerate(rng.choice(150, words, replace=False)):
+            t[at] = f"e{i}x{j}"
+        return " ".join(t)
+
+    def by_class(texts):
+        return sorted(zip([ngram_join.class_of(x) for x in K.shingle_sets([t.encode() for t in texts], 4)], texts, strict=True))
+
+    outer = by_class([edited(i, 6) for i in range(1500)])
+    outer = outer[:far] + outer[-far:]
+    inner = [t for c, t in by_class([edited(5000 + i, 1) for i in range(2 * near)]) if outer[far - 1][0] < c < outer[far][0]][:near]
+    assert len(inner) == near
+    return inner + [t for _, t in outer]
+
+
+def test_ngram_join_names_no_pairs_of_a_group(spark, monkeypatch):
+    """A group of texts that all link, but not with the ends of their buckets: twice as many texts make about twice as many rows of pairs, and no link is lost."""
+    plain, pairs = ngram_join.written, []
+
+    def written(df, *more):
+        out = plain(df, *more)
+        if {"a", "b"} <= set(out.columns):
+            pairs[-1] = max(pairs[-1], out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    for near in (60, 120):
+        pairs.append(0)
+        texts = near_and_far(near, 40)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 4, 85, 100).collect()}
+        assert got == brute_components(list(enumerate(texts)), 4, 85, 100)
+        assert [got[i][1] for i in range(near)] == [0] * near
+    assert pairs[1] <= 2.5 * pairs[0]
+
+
+def test_block_links_against_brute_force():
+    """Sets of many sizes at both sides of a block, and on one: what links join is joined by fewer links than there are sets, all of them links."""
+    rng = np.random.default_rng(12)
+    for two in (False, True):
+        sets = []
+        for n in (1, 5, 60, 63, 68, 250, 270, 1000) * 12:
+            base = np.random.default_rng(n // 50).integers(0, 2**63, 1200, dtype=np.uint64)[:n]
+            own = np.concatenate([base[rng.random(n) > rng.choice([0, 0.02, 0.1])], rng.integers(0, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)])
+            sets.append(np.unique(own) if len(own) else base)
+        m = len(sets)
+        side = rng.integers(0, 2, m) if two else np.full(m, 2)
+        comp = np.where(rng.random(m) < 0.2, rng.integers(0, m, m), np.arange(m) + m)
+        linked = [(i, j) for i in range(m) for j in range(i + 1, m) if (not two or side[i] != side[j]) and fragments.linked(np.array(len(np.intersect1d(sets[i], sets[j]))), len(sets[i]), len(sets[j]), 85, 100)]
+        found = ngram_join._joining(side, comp, sets, 85, 100)
+        assert {tuple(sorted(x)) for x in found} <= set(linked) and 0 < len(found) < m
+        nodes = {int(c) for c in comp}
+        assert connected(nodes, [(int(comp[i]), int(comp[j])) for i, j in linked]) == connected(nodes, [(int(comp[i]), int(comp[j])) for i, j in found])
+
+
+def connected(nodes, pairs):
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    return label
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(odd_docs(spark).limit(0), 4, 85, 100).count() == 0
 
